@@ -1,10 +1,15 @@
 """Registered queries of the training-data operators, and DuckDB SQL where it can express them."""
 
-from . import exact_dedup, quality_rules
+from . import bpe, exact_dedup, packing, quality_model, quality_rules, token_counts, toxicity
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op4_bpe": bpe.op4_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_quality_model": quality_model.op6_quality_model,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_packing": packing.op10_packing,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
