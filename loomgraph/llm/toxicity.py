@@ -27,9 +27,10 @@ from .common import id_text, read_documents
 
 #: Bound on the labelled rows that are learnt from.
 MAX_LABELLED = 200_000
-#: Pseudo-documents of the Dirichlet prior; least z-score and documents of a word that counts as toxic.
+#: Pseudo-documents of the Dirichlet prior; least z-score, log-odds and documents of a word that counts as toxic.
 PRIOR = 200.0
-LEAST_Z = 4.0
+LEAST_Z = 3.0
+LEAST_ODDS = 1.0
 LEAST_DOCS = 5
 #: The model's size: at most so many words, the most significant.
 MAX_WORDS = 20_000
@@ -153,7 +154,7 @@ def word_scores(training: DataFrame) -> tuple[dict[bytes, float], float]:
     yt, yc = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(yt / (n_toxic + PRIOR - yt + 1e-9)) - F.log(yc / (n_clean + PRIOR - yc + 1e-9))
     z = odds / F.sqrt(1 / yt + 1 / yc)
-    top = counts.where(F.col("toxic") >= LEAST_DOCS).select("word", odds.alias("odds"), z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
+    top = counts.where(F.col("toxic") >= LEAST_DOCS).select("word", odds.alias("odds"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
     return {bytes(r["word"]): float(r["odds"]) for r in top}, n_toxic / n
 
 
