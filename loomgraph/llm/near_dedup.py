@@ -9,7 +9,8 @@
    probability of reaching the threshold after m agreements in n is a binomial tail; a pair below ``MISS`` is pruned.
 4. Survivors are verified exactly on the full sets, and the verified links give the components.
 
-``BANDS`` bands of ``ROWS`` miss a pair at the threshold itself with probability (1 - 0.85^5)^28 < 1e-7.
+There are as many bands of ``ROWS`` hashes as it takes to miss a pair at the threshold itself with a probability
+below ``MISS``: 28 for a similarity of 0.85, 41 for 0.8.
 """
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ from .bpe import blocks
 from .common import id_text, materialize, read_documents, release
 from .components import star_components
 
-ROWS, BANDS = 5, 28
-HASHES = ROWS * BANDS
-BATCH = 28
+ROWS = 5
 MISS = 1e-7
 #: Rounds of comparing a bucket with its least member left before the rest is compared across components.
 PIVOT_ROUNDS = 2
 
 _RNG = np.random.default_rng(20240601)
-_FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_FACTORS = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 63, 1024, dtype=np.uint64)
+
+
+def bands_for(threshold: float) -> int:
+    return math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,22 +62,23 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of ``HASHES`` hash functions over the set (upper 32 bits)."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048, None] * _FACTORS + _SHIFTS
+def signature(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The least value of each of ``size`` hash functions over the set (upper 32 bits)."""
+    factors, shifts = _FACTORS[:size], _SHIFTS[:size]
+    least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        part = hashes[at : at + 512, None] * factors + shifts
         np.minimum(least, part.min(0), out=least)
     return (least >> np.uint64(32)).astype("<u4")
 
 
-def least_agreements(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
+def least_agreements(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:  # a batch is one hash of every band
     """(hashes compared, least agreements to go on): below it P(similarity >= threshold | data) < miss.
 
     The posterior under a uniform prior is Beta(m + 1, n - m + 1), whose upper tail is P(Bin(n + 1, t) <= m).
     """
-    out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    batch, out = bands_for(threshold), []
+    for n in range(batch, ROWS * batch + 1, batch):
         tail, m = 0.0, -1
         while tail < miss:
             m += 1
@@ -83,8 +87,9 @@ def least_agreements(threshold: float, miss: float = MISS) -> list[tuple[int, in
     return out
 
 
-def profiles(docs: DataFrame, width: int) -> DataFrame:
+def profiles(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the whole set; null for the empty set) and sig, one row per row."""
+    size = ROWS * bands_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -93,7 +98,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 s = shingles(text, width)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
+                sigs.append(signature(s, size).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
@@ -103,11 +108,12 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), sigs.shape[:2])
+        sigs = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u4").reshape(batch.num_rows, -1, ROWS).astype(np.uint64)
+        bands = sigs.shape[1]
+        key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), sigs.shape[:2])
         for k in range(ROWS):
             key = _mix(key + sigs[:, :, k] * np.uint64(0xD6E8FEB86659FD93))
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(batch["id"].to_numpy(), BANDS))], ["key", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64).ravel()), pa.array(np.repeat(batch["id"].to_numpy(), bands))], ["key", "id"])
 
 
 def _prune(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -118,7 +124,7 @@ def _prune(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             live, agreed, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for n, least in bounds:
                 agreed[live] += (x[live, done:n] == y[live, done:n]).sum(1)
@@ -169,7 +175,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     a null component_id and stays.
     """
     docs = docs.select("doc_id", "text")
-    profile = materialize(profiles(docs, width), "profiles")
+    profile = materialize(profiles(docs, width, percent / 100), "profiles")
     classes = profile.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     reps = materialize(classes.select("set_key", F.col("rep").alias("id"), "sig"), "reps")
     banded = reps.select("id", "sig").mapInArrow(_bands, "key long, id long")
