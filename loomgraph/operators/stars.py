@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating star contractions.
 
 Each half-round hangs a vertex's neighbours below its least neighbour (large star: the greater ones, small star: the
-lesser ones) until every component is one star. A round is one grouped minimum (folded map-side, so hubs are no
-problem) and one join whose skewed keys the engine can split; no link or label reaches the driver.
+lesser ones) until every component is one star; rounds grow with the logarithm of the links, not with the diameter. A
+half-round is one grouped minimum (folded map-side, so hubs are no problem) and one join whose skewed keys the engine
+can split. No link or label reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from ..plans.state import materialize, release
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -21,7 +22,6 @@ def star_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b long); component is the least id reachable."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges = materialize(edges, "stars")
-    # a vertex hangs below exactly one other, and no vertex that others hang below hangs itself: done
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
