@@ -2,51 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, one machine) is a folder of our own made and set.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    if not _OWN_DIR:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="loomgraph-"))
-        atexit.register(shutil.rmtree, _OWN_DIR[0], True)
-    return f"file://{_OWN_DIR[0]}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and return the reread table.
-
-    Cuts the lineage: a lost executor afterwards costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables made by ``materialize`` that no later plan reads."""
-    for table in tables:
-        spark = table.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+from ..plans.state import materialize, release, shared_dir  # noqa: F401  used by the operators from here
+from ..plans.state import shuffle_partitions as partitions  # noqa: F401
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +18,16 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Ids up to this number (some 16 MB) are broadcast instead of dealing whole documents by id.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (``left_anti``: isn't) in the materialised table ``ids`` (id).
+
+    The ids are counted first: a bounded number is broadcast and the documents stay where they are; more are joined by
+    dealing out both sides.
+    """
+    ids = ids.select(F.col("id").alias("_wanted_id"))
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("long") == F.col("_wanted_id"), how)

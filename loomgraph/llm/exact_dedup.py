@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, partitions, read_documents
+from .common import by_ids, id_text, materialize, partitions, read_documents
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -189,14 +189,23 @@ def exact_duplicates(docs: DataFrame, normalised: Column | None = None) -> DataF
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay, one per text, with all their columns; rows repeated whole stay once."""
-    found = exact_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    repeated = found.where("kept and group_size > 1 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    stay = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
-    once = stay.join(repeated, stay["doc_id"].cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return stay.join(repeated, stay["doc_id"].cast("long") == F.col("_id"), "left_anti").unionByName(once)
+    """Rows of ``docs`` that stay, one per text, with all their columns; rows repeated whole stay once.
+
+    doc_id identifies a text; rows without doc_id whose text another row has go, too.
+    """
+    found = materialize(exact_duplicates(docs), "classes")
+    gone = materialize(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    stay = by_ids(docs, gone, "left_anti")
+    twice = materialize(found.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "twice")
+    nameless = found.where("doc_id is null").select("text_sha256").distinct().limit(1)
+    if twice.isEmpty() and nameless.isEmpty():
+        return stay
+    named = stay.where("doc_id is not null")
+    once = by_ids(named, twice).dropDuplicates(["doc_id", "text"])
+    lost = stay.where("doc_id is null").withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    held = found.where("doc_id is not null").select(F.col("text_sha256").alias("_sha")).distinct()
+    lost = lost.join(held, "_sha", "left_anti").dropDuplicates(["_sha"]).drop("_sha")
+    return by_ids(named, twice, "left_anti").unionByName(once).unionByName(lost.select(*docs.columns))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 1. Every text becomes the set of its word shingles (64-bit hashes of all of them) and a MinHash signature. Texts with
    the same set are one class from here on, represented by its least id.
 2. Bands of the signature deal the representatives to buckets. In a bucket all are compared with its least member; a
-   bucket whose members are linked already is done. Only members of different components are compared further, so a
-   group of copies costs comparisons in proportion to its size, while no link between components is lost.
+   bucket whose members are linked already is done. Of the others, texts that share too few shingles with all other
+   texts left to be linked with any go out; then all are compared with the bucket's most central member, twice; what
+   still stands in different components is compared pair by pair. So a group of copies costs comparisons in proportion
+   to its size, while no link between components is lost.
 3. A candidate pair's signatures are compared batch by batch. With a uniform prior on the similarity, the posterior
    probability of reaching the threshold after m agreements in n is a binomial tail; a pair below ``MISS`` is pruned.
 4. Survivors are verified exactly on the full sets, and the verified links give the components.
@@ -24,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stars import star_components
 from .bpe import blocks
-from .common import id_text, materialize, read_documents, release
-from .components import star_components
+from .common import by_ids, id_text, materialize, read_documents, release
 
 ROWS = 5
 MISS = 1e-7
-#: Rounds of comparing a bucket with its least member left before the rest is compared across components.
-PIVOT_ROUNDS = 2
+#: Rounds of comparing a bucket with one member before the rest is compared across components.
+PIVOT_ROUNDS = 3
 
 _RNG = np.random.default_rng(20240601)
 _FACTORS = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,7 +139,7 @@ def _prune(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = materialize(pairs.select("a").distinct().union(pairs.select("b").distinct()).toDF("id").distinct(), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -157,15 +159,37 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = id_text(docs).join(needed, "doc_id").mapInArrow(sets, "id long, s binary")
-    held = materialize(held, "sets")
+    held = materialize(id_text(by_ids(docs, needed)).mapInArrow(sets, "id long, s binary"), "sets")
     of = lambda side: held.select(F.col("id").alias(side), F.col("s").alias(f"s_{side}"))
     links = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long").distinct()
     links = materialize(links, "links")
-    release(held)
+    release(held, needed)
     return links
 
 
+def _centrality(rest: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, size, shared): shingles of every text left, and how many of them any other text left has, too."""
+    ids = materialize(rest.select("id").distinct(), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", 1 << 20):
+            sets = [shingles(t, width) for t in block["text"].to_pylist()]
+            sizes = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([block["doc_id"].take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int64))], ["id", "h", "size"])
+
+    held = materialize(id_text(by_ids(docs, ids)).dropDuplicates(["doc_id"]).mapInArrow(run, "id long, h long, size long"), "shingles")
+    common = held.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    shared = materialize(held.join(common, "h").groupBy("id").agg(F.max("size").alias("size"), F.count("*").alias("shared")), "central")
+    release(held, ids)
+    return shared
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (key, component, ...) of the buckets that hold more than one component."""
+    mixed = rows.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
+    return materialize(rows.join(mixed, "key"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs``.
 
@@ -181,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     banded = reps.select("id", "sig").mapInArrow(_bands, "key long, id long")
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot <> _last").drop("_last")
     rows = materialize(banded.join(shared, "key"), "buckets")  # only buckets of two and more
-    links = labels = None
+    links = labels = central = None
     for number in range(PIVOT_ROUNDS + 1):
         if number < PIVOT_ROUNDS:
             pairs = rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -191,13 +215,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             pairs = left.join(right, "key").where("a < b and _ca <> _cb").select("a", "b").distinct()
         found = _verify(materialize(_prune(pairs, reps, percent / 100), "survivors"), docs, width, percent)
         links = found if links is None else links.unionByName(found)
-        labels = star_components(links)
+        labels = materialize(star_components(links), "labels")
         if number == PIVOT_ROUNDS:
             break
         # what a pivot was compared with is settled; others go on where a bucket still holds several components
         rest = rows.where("id <> pivot").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = rest.groupBy("key").agg(F.min("id").alias("pivot"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key", "pivot")
-        rows = materialize(rest.join(mixed, "key"), "buckets")
+        rest = _mixed(rest)
+        if central is None:
+            central = _centrality(rest, docs, width)
+        # a text shares with any other at most what it shares with all others together
+        sized = rest.join(central, "id")
+        least = sized.groupBy("key").agg(F.min("size").alias("_least"))
+        best = F.col("size") + F.greatest(F.lit(0), F.col("_least") - F.col("shared"))
+        open_ = sized.join(least, "key").where(100 * F.col("shared") >= percent * best).select("key", "id", "component", "size", "shared")
+        open_ = _mixed(open_)
+        middle = open_.groupBy("key").agg(F.max_by("id", F.struct(F.col("shared") / F.col("size"), -F.col("id"))).alias("pivot"))
+        rows = materialize(open_.select("key", "id", "component").join(middle, "key"), "buckets")
         if rows.isEmpty():
             break
     named = reps.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("_component"))
@@ -208,8 +241,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` that stay: one of each group of near duplicates, with all their columns."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    return by_ids(docs, materialize(gone, "gone"), "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

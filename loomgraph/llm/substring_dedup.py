@@ -231,7 +231,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = materialize(texts.mapInArrow(_find, "doc_id long, minimiser long, span long"), "stretches")
     open_ = found.where("minimiser is not null")
     shared = open_.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser", (F.col("n") > HOT).alias("hot"))
+    shared = materialize(shared, "shared")
     wanted = open_.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "span", "hot")).alias("wanted"))
+    wanted = materialize(wanted, "wanted")
     cut = materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut, "doc_id long, minimiser long, start long, hot boolean, bytes binary"), "bytes")
     dealt = cut.where("not hot").select("minimiser", "doc_id", "start", "bytes").repartition(2 * partitions(spark), "minimiser").sortWithinPartitions("minimiser", "doc_id", "start")
     cold = dealt.mapInArrow(_shard, "doc_id long, a long, b long")
@@ -241,7 +243,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     length = F.col("span").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
     at_once = found.where("minimiser is null").select("doc_id", F.shiftright("span", _LENGTH_BITS).alias("a"), (F.shiftright("span", _LENGTH_BITS) + length).alias("b"))
     runs = materialize(at_once.unionByName(cold).unionByName(hot), "runs")
-    release(found, cut)
+    release(found, shared, wanted, cut)
     return runs
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .common import id_text, read_documents
+from .common import by_ids, id_text, materialize, read_documents
 
 #: Bound on the labelled rows that are learnt from.
 MAX_LABELLED = 200_000
@@ -226,8 +226,8 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> D
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text isn't predicted toxic, with all their columns."""
-    toxic = classify(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"].cast("long") == F.col("_toxic"), "left_anti")
+    toxic = classify(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    return by_ids(docs, materialize(toxic, "toxic"), "left_anti")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
