@@ -28,15 +28,17 @@ def index_of(df: DataFrame, keys: list[str], index: str, value: str, greatest: b
     return df.groupBy(*keys).agg(best.alias(index), found.alias(value))
 
 
+def _in_order(order: str, value: str, ascending: bool = True) -> Column:
+    return F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))), asc=ascending)
+
+
 def append(df: DataFrame, keys: list[str], order: str, value: str, prepend: bool = False) -> DataFrame:
     """Per key the values in order (or in reverse) as an array."""
-    rows = F.sort_array(F.collect_list(F.struct(order, value)), asc=not prepend)
-    return df.groupBy(*keys).agg(F.transform(rows, lambda r: r[value]).alias("values"))
+    return df.groupBy(*keys).agg(F.transform(_in_order(order, value, not prepend), lambda r: r["v"]).alias("values"))
 
 
 def joined_text(df: DataFrame, keys: list[str], order: str, value: str, separator: str = "") -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct(order, value)))
-    return df.groupBy(*keys).agg(F.concat_ws(separator, F.transform(rows, lambda r: r[value].cast("string"))).alias("text"))
+    return df.groupBy(*keys).agg(F.concat_ws(separator, F.transform(_in_order(order, value), lambda r: r["v"].cast("string"))).alias("text"))
 
 
 def stable_sum(df: DataFrame, keys: list[str], value: str, scale: int = 18) -> DataFrame:
