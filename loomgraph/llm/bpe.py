@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import id_text, read_documents
 
 SHORT = 128
-CACHED_WORDS = 800_000
+CACHED_WORDS = 250_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -161,7 +161,7 @@ class RankArray:
         low = 0
         for width in (4, 8, 16, 32, 64, SHORT):
             group = np.flatnonzero((lengths > low) & (lengths <= width)).tolist()
-            step = max(1, 400_000 // width)
+            step = max(1, 200_000 // width)
             for at in range(0, len(group), step):
                 some = group[at : at + step]
                 for i, ids in zip(some, self._short([words[i] for i in some], width), strict=True):
@@ -200,7 +200,7 @@ def vocabulary(path: str) -> RankArray:
     return RankArray(path)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``size`` bytes of ``column`` each, so memory doesn't follow the batch."""
     for batch in batches:
         if not batch.num_rows:

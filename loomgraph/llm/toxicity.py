@@ -73,7 +73,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for block in blocks(batches, "text"):
         for text, label in zip(block["text"].to_pylist(), block["label"].to_pylist(), strict=True):
             counts[label > 0].update(set(words_of(text)))
-        if len(counts[0]) + len(counts[1]) > 500_000:
+        if len(counts[0]) + len(counts[1]) > 200_000:
             yield out()
     yield out()
 
