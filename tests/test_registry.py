@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def duck():
 
 def normal(frame):
     names = sorted(frame.columns)
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) else v
+    clean = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) else v
     return [tuple(clean(v) for v in row) for row in frame[names].astype(object).itertuples(index=False)], names
 
 
