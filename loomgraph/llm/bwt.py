@@ -37,10 +37,11 @@ def classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
     Classes of suffixes shorter than ``least`` mean nothing; the caller leaves those out.
     """
-    n = len(text)
+    n = len(text) + 1  # the empty suffix stands first and is preceded by the last letter
     order = suffixes(text, least)
-    before = text[order - 1].astype(np.int64)  # the transform; the first suffix is preceded by the last letter
-    by_letter = np.argsort(before.astype(np.uint8), kind="stable")
+    at = np.concatenate([[len(text)], order])
+    before = np.where(at > 0, text[at - 1].astype(np.int16), -1)  # the transform; nothing precedes the whole text
+    by_letter = np.argsort(before, kind="stable")
     step = np.empty(n, np.int64)  # where the suffix one letter longer stands
     step[by_letter] = np.arange(n)
     same = before[by_letter[1:]] == before[by_letter[:-1]]
@@ -63,4 +64,4 @@ def classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(low):
             break
         met[high + 1] = True
-    return order, np.cumsum(met[:n])
+    return order, np.cumsum(met[1:n])

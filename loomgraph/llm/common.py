@@ -18,6 +18,13 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 #: Ids up to this number (some 16 MB) are broadcast instead of dealing whole documents by id.
 BROADCAST_IDS = 2_000_000
 
@@ -28,6 +35,7 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
     The ids are counted first: a bounded number is broadcast and the documents stay where they are; more are joined by
     dealing out both sides.
     """
-    ids = ids.select(F.col("id").alias("_wanted_id"))
+    name = fresh(docs, "wanted_id")
+    ids = ids.select(F.col("id").alias(name))
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("long") == F.col("_wanted_id"), how)
+    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").cast("long") == F.col(name), how)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, id_text, materialize, partitions, read_documents
+from .common import by_ids, fresh, id_text, materialize, partitions, read_documents
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -202,9 +202,10 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
         return stay
     named = stay.where("doc_id is not null")
     once = by_ids(named, twice).dropDuplicates(["doc_id", "text"])
-    lost = stay.where("doc_id is null").withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    held = found.where("doc_id is not null").select(F.col("text_sha256").alias("_sha")).distinct()
-    lost = lost.join(held, "_sha", "left_anti").dropDuplicates(["_sha"]).drop("_sha")
+    sha = fresh(docs, "sha")
+    lost = stay.where("doc_id is null").withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    held = found.where("doc_id is not null").select(F.col("text_sha256").alias(sha)).distinct()
+    lost = lost.join(held, sha, "left_anti").dropDuplicates([sha]).drop(sha)
     return by_ids(named, twice, "left_anti").unionByName(once).unionByName(lost.select(*docs.columns))
 
 

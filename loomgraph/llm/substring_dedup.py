@@ -229,22 +229,25 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = id_text(docs).where("doc_id is not null")
     found = materialize(texts.mapInArrow(_find, "doc_id long, minimiser long, span long"), "stretches")
+    length = F.col("span").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
+    start = F.shiftright("span", _LENGTH_BITS)
+    at_once = materialize(found.where("minimiser is null").select("doc_id", start.alias("a"), (start + length).alias("b")), "runs")
     open_ = found.where("minimiser is not null")
     shared = open_.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser", (F.col("n") > HOT).alias("hot"))
     shared = materialize(shared, "shared")
     wanted = open_.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "span", "hot")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
+    release(found, shared)
     cut = materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut, "doc_id long, minimiser long, start long, hot boolean, bytes binary"), "bytes")
+    release(wanted)
     dealt = cut.where("not hot").select("minimiser", "doc_id", "start", "bytes").repartition(2 * partitions(spark), "minimiser").sortWithinPartitions("minimiser", "doc_id", "start")
-    cold = dealt.mapInArrow(_shard, "doc_id long, a long, b long")
+    cold = materialize(dealt.mapInArrow(_shard, "doc_id long, a long, b long"), "runs")
     windows = cut.where("hot").select("doc_id", "start", "bytes").mapInArrow(_windows, "window binary, doc_id long, start long")
     earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("e"), F.max(F.struct("doc_id", "start")).alias("l")).where("e <> l").select("window", "e")
-    hot = windows.join(earliest, "window").where(F.struct("doc_id", "start") > F.col("e")).select("doc_id", F.col("start").alias("a"), (F.col("start") + LEAST).alias("b"))
-    length = F.col("span").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
-    at_once = found.where("minimiser is null").select("doc_id", F.shiftright("span", _LENGTH_BITS).alias("a"), (F.shiftright("span", _LENGTH_BITS) + length).alias("b"))
-    runs = materialize(at_once.unionByName(cold).unionByName(hot), "runs")
-    release(found, shared, wanted, cut)
-    return runs
+    later = windows.join(earliest, "window").where(F.struct("doc_id", "start") > F.col("e"))
+    hot = materialize(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + LEAST).alias("b")), "runs")
+    release(cut)
+    return at_once.unionByName(cold).unionByName(hot)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
