@@ -18,12 +18,21 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every vertex hangs below one other at most, and none that others hang below hangs itself."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+    chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return chained.isEmpty() and several.isEmpty()
+
+
 def star_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component) for every id in ``links`` (a, b long); component is the least id reachable."""
+    """(id, component) for every id in ``links`` (a, b long) that is linked to another; component is the least id
+    reachable."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges = materialize(edges, "stars")
-    state = None
     for _ in range(max_rounds):
+        if _is_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,9 +41,7 @@ def star_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         made = materialize(small, "stars")
         release(edges)
         edges = made
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+    else:
+        raise RuntimeError(f"the components aren't stars after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
