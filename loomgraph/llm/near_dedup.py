@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     banded = reps.select("id", "sig").mapInArrow(_bands, "key long, id long")
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot <> _last").drop("_last")
     rows = materialize(banded.join(shared, "key"), "buckets")  # only buckets of two and more
-    links = labels = central = None
+    labels = central = None
     for number in range(PIVOT_ROUNDS + 1):
         if number < PIVOT_ROUNDS:
             pairs = rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -214,8 +214,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             right = rows.select("key", F.col("id").alias("b"), F.col("component").alias("_cb"))
             pairs = left.join(right, "key").where("a < b and _ca <> _cb").select("a", "b").distinct()
         found = _verify(materialize(_prune(pairs, reps, percent / 100), "survivors"), docs, width, percent)
-        links = found if links is None else links.unionByName(found)
-        labels = materialize(star_components(links), "labels")
+        if labels is None:
+            labels = materialize(star_components(found), "labels")
+        elif not found.isEmpty():
+            # what is linked already goes on as stars
+            held = labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            labels = materialize(star_components(held.unionByName(found)), "labels")
         if number == PIVOT_ROUNDS:
             break
         # what a pivot was compared with is settled; others go on where a bucket still holds several components
