@@ -5,7 +5,7 @@
 2. Bands of the signature deal the representatives to buckets. In a bucket all are compared with its least member; a
    bucket whose members are linked already is done. Of the others, texts that share too few shingles with all other
    texts left to be linked with any go out; then all are compared with the bucket's most central member, twice; what
-   still stands in different components is compared pair by pair. So a group of copies costs comparisons in proportion
+   still stands in different components goes through an exact prefix join. So a group of copies costs comparisons in proportion
    to its size, while no link between components is lost.
 3. A candidate pair's signatures are compared batch by batch. With a uniform prior on the similarity, the posterior
    probability of reaching the threshold after m agreements in n is a binomial tail; a pair below ``MISS`` is pruned.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.stars import star_components
@@ -32,7 +32,7 @@ from .common import by_ids, id_text, materialize, read_documents, release
 
 ROWS = 5
 MISS = 1e-7
-#: Rounds of comparing a bucket with one member before the rest is compared across components.
+#: Rounds of comparing a bucket with one member before the rest is joined across components.
 PIVOT_ROUNDS = 3
 
 _RNG = np.random.default_rng(20240601)
@@ -167,9 +167,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return links
 
 
-def _centrality(rest: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(id, size, shared): shingles of every text left, and how many of them any other text left has, too."""
-    ids = materialize(rest.select("id").distinct(), "left")
+def _shingle_rows(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, h, size): a row per shingle of the texts with these ids, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 20):
@@ -177,13 +176,47 @@ def _centrality(rest: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             sizes = [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays([block["doc_id"].take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int64))], ["id", "h", "size"])
 
-    held = materialize(id_text(by_ids(docs, ids)).dropDuplicates(["doc_id"]).mapInArrow(run, "id long, h long, size long"), "shingles")
+    return materialize(id_text(by_ids(docs, ids)).dropDuplicates(["doc_id"]).mapInArrow(run, "id long, h long, size long"), "shingles")
+
+
+def _centrality(rest: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, size, shared): shingles of every text left, and how many of them any other text left has, too."""
+    ids = materialize(rest.select("id").distinct(), "left")
+    held = _shingle_rows(ids, docs, width)
     common = held.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
     shared = materialize(held.join(common, "h").groupBy("id").agg(F.max("size").alias("size"), F.count("*").alias("shared")), "central")
     release(held, ids)
     return shared
 
 
+def _rest_pairs(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): every pair of different components among the texts left that may reach the threshold.
+
+    An exact join on prefixes: with shingles ordered from the rarest on, linked texts share one of their first
+    size - need + 1, and at the first that they share enough must be left behind it in both. In a shingle's list only
+    members outside its commonest component look for partners, so large groups aren't compared with themselves.
+    """
+    left = materialize(rows.select("id", "component").distinct(), "left")
+    held = _shingle_rows(left.select("id"), docs, width)
+    counts = held.groupBy("h").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("id").orderBy("_n", "h")
+    placed = held.join(counts, "h").withColumn("at", F.row_number().over(order) - 1)
+    need = F.ceil(F.col("size") * percent / F.lit(100))
+    prefix = materialize(placed.where((F.col("at") <= F.col("size") - need) & (F.col("_n") > 1)).join(left, "id").select("h", "id", "component", "size", "at"), "prefixes")
+    groups = prefix.groupBy("h", "component").agg(F.count("*").alias("n"))
+    large = groups.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("_large"))
+    names = ("component", "size", "at")
+    x = prefix.join(large, "h").where("component <> _large").select("h", F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in names))
+    y = prefix.select("h", F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in names))
+    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    enough = (100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))
+    close = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    met = x.join(y, (x["h"] == y["h"]) & (F.col("component_a") != F.col("component_b")) & enough & close)
+    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    release(left, held, prefix)
+    return pairs
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows (key, component, ...) of the buckets that hold more than one component."""
     mixed = rows.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
@@ -210,9 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if number < PIVOT_ROUNDS:
             pairs = rows.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         else:
-            left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("_ca"))
-            right = rows.select("key", F.col("id").alias("b"), F.col("component").alias("_cb"))
-            pairs = left.join(right, "key").where("a < b and _ca <> _cb").select("a", "b").distinct()
+            pairs = _rest_pairs(rows, docs, width, percent)
         found = _verify(materialize(_prune(pairs, reps, percent / 100), "survivors"), docs, width, percent)
         if labels is None:
             labels = materialize(star_components(found), "labels")

@@ -114,8 +114,9 @@ def near_copies(seed, n):
     return out
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "rounds"), [(3, 85, 3), (5, 80, 3), (3, 85, 1)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, percent, rounds):
+    monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", rounds)
     texts = dict(enumerate(near_copies(width, 40)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     want, sizes = brute_components(texts, width, percent)
