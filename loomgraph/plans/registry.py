@@ -280,7 +280,7 @@ def _converge_sql(rounds: int) -> str:
 
 @register("pagerank_converge", _converge_sql(6))
 def pagerank_converge(spark, d):
-    return _round(rank.pagerank_converge(dense(spark, d), max_rounds=6), "rank")
+    return _round(rank.pagerank_converge(dense(spark, d)), "rank")
 
 
 def _delta_sql(rounds: int) -> str:
@@ -295,7 +295,7 @@ def _delta_sql(rounds: int) -> str:
 
 @register("pagerank_delta", _delta_sql(6))
 def pagerank_delta(spark, d):
-    return _round(rank.pagerank_delta(dense(spark, d), max_rounds=6), "rank")
+    return _round(rank.pagerank_delta(dense(spark, d)), "rank")
 
 
 def _bc_sql(depth: int) -> str:
@@ -331,7 +331,7 @@ def bp(spark, d):
     edges = tables.part_chain_sparse(spark, d)
     g = Graph(edges.select("*", *(F.expr(f"CAST({x} AS DOUBLE)").alias(n) for x, n in zip(_E, ("e00", "e01", "e10", "e11"), strict=True))))
     potentials = g.vertices.select("id", F.expr("0.9D + id % 3 / 10.0D").alias("v0"), F.expr("1.1D - id % 3 / 10.0D").alias("v1"))
-    return _round(rank.belief_propagation(g, potentials, rounds=3), "p0", "p1", digits=8)
+    return _round(rank.belief_propagation(g, potentials), "p0", "p1", digits=8)
 
 
 # --- partitions and orders
