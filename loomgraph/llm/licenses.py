@@ -1,7 +1,7 @@
 """Licence texts by an exact set-similarity join.
 
-Text blocks (lines; a long line in overlapping windows) are joined with licence templates wherever a block holds at
-least ``THRESHOLD`` of a template's distinct words. Words are ordered from the rarest in the corpus to the commonest;
+Text blocks (lines, and overlapping windows over long lines and over the whole text) are joined with licence templates
+wherever a block holds at least ``THRESHOLD`` of a template's distinct words. Words are ordered from the rarest in the corpus to the commonest;
 a block that reaches the threshold must share one of the template's first ``n - need + 1`` words (prefix filter), must
 have enough template words at all (length filter), and enough of them at or after the shared one (positional filter).
 What is left is verified on the whole sets, so the join is exact.
@@ -23,7 +23,7 @@ from .common import id_text, read_documents
 #: Words of the contract: runs of ASCII letters, digits and non-ASCII characters, A-Z lowered.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.85
-#: Words of a block; a longer line is cut into windows that overlap by half, so no template-sized passage is split.
+#: Words of a window. Windows overlap by half, so a passage of up to 33 words (the longest template has 21) lies whole in one.
 BLOCK_WORDS = 64
 
 #: Phrases whose every place counts, and their labels.
@@ -69,12 +69,18 @@ def places(w: Column, phrase: tuple[str, ...]) -> Column:
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id and ``w``, the distinct words of a block, for every block that has a word."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    """doc_id and ``w``, the distinct words of a block, for every block that has a word.
+
+    Blocks are the lines (a long one in windows) and, where a text has several lines, windows over all of its words, so
+    that a passage wrapped over lines lies whole in one of them.
+    """
     half = BLOCK_WORDS // 2
-    short = F.array(F.col("w"))
-    cut = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(half)), lambda i: F.slice("w", i, BLOCK_WORDS))
-    return lines.select("doc_id", F.explode(F.when(F.size("w") <= BLOCK_WORDS, short).otherwise(cut)).alias("w")).select("doc_id", F.array_distinct("w").alias("w"))
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(half)), lambda i: F.slice(w, i, BLOCK_WORDS))
+    lines = F.filter(F.transform(F.split("text", "\n"), words), lambda w: F.size(w) > 0)
+    split = docs.select("doc_id", lines.alias("lines")).where(F.size("lines") > 0).select("doc_id", "lines", F.flatten("lines").alias("all"))
+    single = F.flatten(F.transform("lines", lambda w: F.when(F.size(w) <= BLOCK_WORDS, F.array(w)).otherwise(cut(w))))
+    across = F.when(F.size("lines") > 1, cut(F.col("all"))).otherwise(F.array().cast("array<array<string>>"))
+    return split.select("doc_id", F.explode(F.concat(single, across)).alias("w")).select("doc_id", F.array_distinct("w").alias("w"))
 
 
 def word_frequencies(docs: DataFrame, vocabulary: Iterable[str]) -> dict[str, int]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -151,6 +152,19 @@ def test_long_lines_are_searched_in_windows(spark):
     assert licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == "bsd"
 
 
+def test_passages_wrapped_over_lines(spark):
+    wanted = {label: text for label, text in licenses.TEMPLATES if label in ("mit", "bsd", "isc")}
+    before = " ".join(f"w{i}" for i in range(45))
+    texts = []
+    for text in wanted.values():
+        lines = textwrap.wrap(text, 75)
+        assert len(lines) > 1
+        texts += ["\n".join(lines), before + "\n * " + "\n * ".join(lines) + "\n\n" + before, "\r\n".join(text.split())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(docs).collect()}
+    assert got == {i: (label, 1.0) for i, label in enumerate(x for x in wanted for _ in range(3))}
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, sf, name):
     got = queries.QUERIES[name](spark, sf).toPandas()
