@@ -260,13 +260,14 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     """doc_id, ``kept`` (the remaining bytes), n_bytes, ``removed`` (array of runs a, b) and ``rest`` (a struct of all
     columns but text), one row per row.
 
     Texts are judged as UTF-8 bytes on the input; matches never cross documents, and of equal strings the one with the
     least doc_id and start stays. Null and empty texts have no bytes. Rows repeated with one doc_id are one document;
-    a row without doc_id is left whole and doesn't count as an earlier occurrence.
+    a row without doc_id is left whole and doesn't count as an earlier occurrence. With ``whole_characters`` the parts of
+    characters at the cut edges are left out of ``kept``, too.
     """
     runs = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs")).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("rest"))
@@ -284,7 +285,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 sizes.append(len(raw))
                 removed.append([{"a": a, "b": b} for a, b in gone])
                 edges = [0, *(x for ab in gone for x in ab), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else raw)
+                pieces = [raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                if whole_characters:  # a piece of valid UTF-8 can only be broken at its ends
+                    pieces = [p.decode("utf-8", "ignore").encode() for p in pieces]
+                kept.append(b"".join(pieces) if gone else raw)
             yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), block["rest"]], ["doc_id", "kept", "n_bytes", "removed", "rest"])
 
     return joined.mapInArrow(run, schema)
@@ -295,9 +299,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     A character that a removed run cuts in two goes altogether. A text that is all repeats becomes empty; its row stays.
     """
-    left = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.coalesce(left, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    rows = remove_repeats(docs).select("rest", text.alias("_text"))
+    rows = remove_repeats(docs, whole_characters=True).select("rest", F.col("kept").cast("string").alias("_text"))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return rows.select(*(new[c].alias(c) if c in new else F.col("rest")[c].alias(c) for c in docs.columns))
 

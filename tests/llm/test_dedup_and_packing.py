@@ -235,6 +235,17 @@ def test_cut_characters_go(spark):
     assert left[2]["text"] == "yz" and left[2]["n_chars"] == 2
 
 
+def test_own_replacement_characters_stay(spark):
+    passage = "".join(chr(97 + i * i % 23) for i in range(120))
+    # the run goes on into the first byte of the character after the passage
+    texts = [(1, passage + "é"), (2, "a\ufffdb " + passage + "è c\ufffdd")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    spans = {r["doc_id"]: [(x["a"], x["b"]) for x in r["removed"]] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert spans[2] == [(6, 6 + 121)]
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeats(docs).collect()}
+    assert left == {1: passage + "é", 2: "a\ufffdb  c\ufffdd"}
+
+
 # --- packing
 
 def assert_packed(rows, texts, capacity):
