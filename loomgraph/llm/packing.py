@@ -12,67 +12,23 @@ apart, so that no length's pieces meet in one task) and find bin and offset from
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import BLANK, CACHED_WORDS, DIGIT, LATIN, LETTER, blocks, tokenizer_path
-from .common import id_text, materialize, partitions, read_documents
+from .bpe import CUT_CHARS, blocks, tokenizer_path, vocabulary
+from .common import id_text, lean, materialize, partitions, read_documents
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that are numbered together, about.
 BUCKET_ROWS = 20_000
 
-#: The public split rule of the lower-case word vocabulary, over the same classes as the byte-level rule's.
-WORD_PATTERN = re.compile(rf"[{LETTER}]+|'(?:[stmd]|re|ve|ll)|[{DIGIT}]|[^{BLANK}{LETTER}{DIGIT}]+")
-
-
-class Words:
-    """Ids of whole texts by the ``tokenizers`` library, asked once per distinct word.
-
-    Texts of Latin letters are cut into words by the vocabulary's own rule; any other text, and one that holds a special
-    token's string, goes to the library whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        cut: list[list[str] | None] = []
-        for text in texts:
-            low = text.lower()
-            plain = LATIN.fullmatch(text) and LATIN.fullmatch(low) and "<|" not in text
-            cut.append(WORD_PATTERN.findall(low) if plain else None)
-        fresh = list({w for ws in cut if ws for w in ws if w not in known})
-        known.update(zip(fresh, self._ids(fresh), strict=True))
-        whole = iter(self._ids([t for t, ws in zip(texts, cut, strict=True) if ws is None]))
-        return [next(whole) if ws is None else b"".join(map(known.__getitem__, ws)) for ws in cut]
-
-
-@functools.lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ``ids``) of every document's ids, an end id behind them.
 
@@ -81,11 +37,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = words(path)
+        words = vocabulary(path)
         end = END_ID.to_bytes(4, "little")
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", CUT_CHARS):
             rows = []
-            for doc, ids in zip(block["doc_id"].to_pylist(), vocabulary.encode(block["text"].to_pylist()), strict=True):
+            for doc, ids in zip(block["doc_id"].to_pylist(), words.encode(block["text"].to_pylist()), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -93,7 +49,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -198,7 +154,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield kept.append_column("sequence_id", pa.array(p["sequence"][at] + copy)).append_column("offset", pa.array(p["offset"][at] + slot * length))
 
     schema = numbered.drop("_number").schema.add("sequence_id", "long").add("offset", "long")
-    return numbered.mapInArrow(run, schema)
+    return numbered.mapInArrow(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import blocks, tokenizer_path, vocabulary
-from .common import id_text, read_documents
+from .bpe import CUT_CHARS, blocks, tokenizer_path, vocabulary
+from .common import id_text, lean, read_documents
 
 RULES = ("start", "majority")
 _OUT = "doc_id long, section int, char_start long, char_end long, n_tokens long, n_crossing long"
@@ -69,7 +69,7 @@ def _count(docs: DataFrame, path: str, rule: str, cut: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         lengths = np.array([len(x) for x in words.token_bytes], np.int64)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", CUT_CHARS):
             texts = block["text"].to_pylist()
             given = block["sections"].to_pylist() if cut == "given" else None
             rows: list[list[np.ndarray]] = []
@@ -83,7 +83,7 @@ def _count(docs: DataFrame, path: str, rule: str, cut: str) -> DataFrame:
             columns = [np.concatenate([r[i] for r in rows]) for i in range(5)]
             yield pa.RecordBatch.from_arrays([ids_out, pa.array(columns[0], pa.int32()), *(pa.array(c.astype(np.int64)) for c in columns[1:])], ["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing"])
 
-    return docs.mapInArrow(run, _OUT)
+    return docs.mapInArrow(lean(run), _OUT)
 
 
 def line_token_counts(docs: DataFrame, path: str, rule: str = "start") -> DataFrame:
