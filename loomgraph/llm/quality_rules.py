@@ -17,9 +17,6 @@ from .common import id_text, read_documents
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Positions below this share a long with 44 bits of the window's hash; longer texts sort (hash, position) structs.
-_PACKED = 1 << 20
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -58,7 +55,9 @@ POLICIES = {"base-1": BASE_MASK, "web-1": (1 << len(RULE_NAMES)) - 1}
 def measure(docs: DataFrame) -> DataFrame:
     """``doc_id`` and every measurement the rules use, one row per input row.
 
-    Null and empty texts have no words and all measurements 0. Repeated rows each give their own row.
+    Null and empty texts have no words and all measurements 0. Repeated rows each give their own row. Windows are
+    sorted by (hash, words, place): the hash only speeds up the comparison, equal windows always stand side by side. Texts
+    of any length go one way; a row takes memory in proportion to its words.
     """
     n = F.col("n_words")
     cut = id_text(docs).select(
@@ -77,24 +76,15 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     at = lambda i: F.get(F.col("w"), i)
-    hashed = lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))
     starts = F.sequence(F.lit(0), (n - 3).cast("int"))
-    keep = F.lit(~(_PACKED - 1))
-    packed = F.sort_array(F.transform(starts, lambda i: hashed(i).bitwiseAND(keep).bitwiseOR(i.cast("long"))))
-    wide = F.array_sort(F.transform(starts, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
-    sorted_windows = words.withColumn("p", F.when((n >= 3) & (n < _PACKED), packed)).withColumn("q", F.when(n >= _PACKED, wide))
-    same = lambda a, b: (at(a) == at(b)) & (at(a + 1) == at(b + 1)) & (at(a + 2) == at(b + 2))
-
-    def pairs(sorted_col: str, hash_of, pos_of) -> Column:
-        """Starts of windows equal to their neighbour in hash order; the words themselves are compared too."""
-        s = F.col(sorted_col)
-        ks = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda k: (hash_of(F.get(s, k)) == hash_of(F.get(s, k - 1))) & same(pos_of(F.get(s, k)), pos_of(F.get(s, k - 1))))
-        return F.flatten(F.transform(ks, lambda k: F.flatten(F.transform(F.array(pos_of(F.get(s, k)), pos_of(F.get(s, k - 1))), lambda i: F.array(i, i + 1, i + 2)))))
-
-    from_packed = pairs("p", lambda x: F.shiftright(x, 20), lambda x: x.bitwiseAND(F.lit(_PACKED - 1)).cast("int"))
-    from_wide = pairs("q", lambda x: x["h"], lambda x: x["i"])
-    covered = F.when(F.size("p") >= 2, F.size(F.array_distinct(from_packed))).when(F.size("q") >= 2, F.size(F.array_distinct(from_wide))).otherwise(0)
-    return sorted_windows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines", "n_capitals", "n_exclamations")
+    window = lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), at(i).alias("x"), at(i + 1).alias("y"), at(i + 2).alias("z"), i.alias("i"))
+    sorted_windows = words.withColumn("s", F.when(n >= 3, F.sort_array(F.transform(starts, window))))
+    s = F.col("s")
+    same = lambda p, q: (p["h"] == q["h"]) & (p["x"] == q["x"]) & (p["y"] == q["y"]) & (p["z"] == q["z"])
+    again = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda k: same(F.get(s, k), F.get(s, k - 1)))
+    covered = F.flatten(F.transform(again, lambda k: F.flatten(F.transform(F.array(F.get(s, k)["i"], F.get(s, k - 1)["i"]), lambda i: F.array(i, i + 1, i + 2)))))
+    n_covered = F.when(F.size(s) >= 2, F.size(F.array_distinct(covered))).otherwise(0)
+    return sorted_windows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", n_covered.cast("long").alias("n_repeat_words"), "n_lines", "n_capitals", "n_exclamations")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
