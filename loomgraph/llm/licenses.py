@@ -1,8 +1,9 @@
 """Licence texts by an exact set-similarity join.
 
-Text blocks (lines, and overlapping windows over long lines and over the whole text) are joined with licence templates
-wherever a block holds at least ``THRESHOLD`` of a template's distinct words. Words are ordered from the rarest in the corpus to the commonest;
-a block that reaches the threshold must share one of the template's first ``n - need + 1`` words (prefix filter), must
+Text blocks are overlapping windows over the words of the whole text, whatever its lines. They are joined with licence
+templates wherever a block holds at least ``THRESHOLD`` of a template's distinct words, the words that tell it from its
+neighbours (``nc``, ``sa``, a version) among them. Words are ordered from the rarest in the corpus to the commonest; a
+block that reaches the threshold must share one of the template's first ``n - need + 1`` words (prefix filter), must
 have enough template words at all (length filter), and enough of them at or after the shared one (positional filter).
 What is left is verified on the whole sets, so the join is exact.
 
@@ -23,8 +24,9 @@ from .common import id_text, read_documents
 #: Words of the contract: runs of ASCII letters, digits and non-ASCII characters, A-Z lowered.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.85
-#: Words of a window. Windows overlap by half, so a passage of up to 33 words (the longest template has 21) lies whole in one.
-BLOCK_WORDS = 64
+#: Words of a block, and from one block's first word to the next one's: any 24 words in a row lie whole in a block.
+BLOCK_WORDS = 32
+STRIDE = 8
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
@@ -45,6 +47,9 @@ TEMPLATES = (
     ("reserved", "All rights reserved"),
 )
 
+#: Words that a block must hold to get a label, since they tell it from licences worded alike.
+TELLING = {"apache-2.0": {"apache", "2"}, "cc-by-nc": {"nc"}, "cc-by-sa": {"sa"}, "cc0": {"cc0"}, "gpl-3.0": {"gnu", "3"}, "lgpl": {"lesser"}, "mpl-2.0": {"mozilla"}}
+
 
 def template_words(text: str) -> list[str]:
     """Distinct words in order of their first place."""
@@ -52,7 +57,12 @@ def template_words(text: str) -> list[str]:
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
+    """The words of a text with A-Z lowered.
+
+    ``lower`` changes other letters, too, but no word sought here has any; the Kelvin sign, the one letter that it turns
+    into an ASCII one, is put out of its reach.
+    """
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b"))), NOT_WORD), "")
 
 
 def places(w: Column, phrase: tuple[str, ...]) -> Column:
@@ -68,19 +78,12 @@ def places(w: Column, phrase: tuple[str, ...]) -> Column:
     return F.when(F.array_contains(w, phrase[-1]), F.filter(F.transform(w, here), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id and ``w``, the distinct words of a block, for every block that has a word.
-
-    Blocks are the lines (a long one in windows) and, where a text has several lines, windows over all of its words, so
-    that a passage wrapped over lines lies whole in one of them.
-    """
-    half = BLOCK_WORDS // 2
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(half)), lambda i: F.slice(w, i, BLOCK_WORDS))
-    lines = F.filter(F.transform(F.split("text", "\n"), words), lambda w: F.size(w) > 0)
-    split = docs.select("doc_id", lines.alias("lines")).where(F.size("lines") > 0).select("doc_id", "lines", F.flatten("lines").alias("all"))
-    single = F.flatten(F.transform("lines", lambda w: F.when(F.size(w) <= BLOCK_WORDS, F.array(w)).otherwise(cut(w))))
-    across = F.when(F.size("lines") > 1, cut(F.col("all"))).otherwise(F.array().cast("array<array<string>>"))
-    return split.select("doc_id", F.explode(F.concat(single, across)).alias("w")).select("doc_id", F.array_distinct("w").alias("w"))
+def text_blocks(docs: DataFrame, some_of: Column) -> DataFrame:
+    """doc_id and ``w``, the distinct words of a block, for every block of the texts that hold a word of ``some_of``."""
+    held = docs.select("doc_id", words(F.col("text")).alias("all")).where(F.arrays_overlap("all", some_of))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - (BLOCK_WORDS - STRIDE)), F.lit(STRIDE))
+    cut = held.select("doc_id", F.explode(F.transform(starts, lambda i: F.slice("all", i, BLOCK_WORDS))).alias("w"))
+    return cut.select("doc_id", F.array_distinct("w").alias("w")).where(F.arrays_overlap("w", some_of))
 
 
 def word_frequencies(docs: DataFrame, vocabulary: Iterable[str]) -> dict[str, int]:
@@ -106,11 +109,12 @@ def containment_join(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEM
     for t, (label, ws) in enumerate(sets):
         ws = sorted(ws, key=rank.__getitem__)
         need = math.ceil(threshold * len(ws) - 1e-9)
-        index += [(w, t, label, i, need, ws) for i, w in enumerate(ws[: len(ws) - need + 1])]
-    prefixes = spark.createDataFrame(index, "word string, template int, label string, at int, need int, words array<string>")
+        telling = sorted(TELLING.get(label, set()) & set(ws))
+        index += [(w, t, label, i, need, ws, telling) for i, w in enumerate(ws[: len(ws) - need + 1])]
+    prefixes = spark.createDataFrame(index, "word string, template int, label string, at int, need int, words array<string>, telling array<string>")
     first = F.array(*(F.lit(w) for w in sorted({row[0] for row in index})))
     in_order = F.array(*(F.lit(w) for w in order))
-    candidates = text_blocks(docs).where(F.arrays_overlap("w", first))
+    candidates = text_blocks(docs, first)
     # the block's template words from the rarest to the commonest, and which of them open a template
     ordered = candidates.select("doc_id", F.array_intersect(in_order, F.col("w")).alias("b"))
     probes = ordered.select("doc_id", "b", F.posexplode("b").alias("place", "word"))
@@ -119,7 +123,7 @@ def containment_join(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEM
     long_enough = F.size("b") >= F.col("need")
     enough_left = F.least(size - F.col("at"), F.size("b") - F.col("place")) + F.least(F.col("at"), F.col("place")) >= F.col("need")
     overlap = F.size(F.array_intersect("b", "words"))
-    verified = met.where(long_enough & enough_left).withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
+    verified = met.where(long_enough & enough_left).withColumn("overlap", overlap).where((F.col("overlap") >= F.col("need")) & (F.size(F.array_except("telling", "b")) == 0))
     return verified.groupBy("doc_id", "label").agg(F.max(F.col("overlap") / size).alias("containment"))
 
 
@@ -128,6 +132,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and no labels (empty strings), and score 0. A phrase scores 1, else the best
     containment counts. Rows repeated with one doc_id are one document: each row's own phrases, their common templates.
+    Labels that tie are all listed. Texts of any length go one way, in blocks; a row takes memory in proportion to its
+    words.
     """
     texts = id_text(docs)
     found = containment_join(texts).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
@@ -147,21 +153,21 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rows = ", ".join(f"({t}, '{label}', {sorted(template_words(text))!r})" for t, (label, text) in enumerate(TEMPLATES))
+    rows = ", ".join(f"({t}, '{label}', {sorted(template_words(text))!r}, {sorted(TELLING.get(label, set()))!r}::VARCHAR[])" for t, (label, text) in enumerate(TEMPLATES))
     cond = lambda p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p))
     cases = " ".join(f"WHEN {cond(p)} THEN '{label}'" for label, p in PHRASES.items())
-    split = rf"list_filter(string_split_regex(lower({{}}), '{NOT_WORD}'), lambda x: x <> '')"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = rf"list_filter(string_split_regex({low}, '{NOT_WORD}'), lambda x: x <> '')"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, {split.format("t")} AS w FROM d),
 p AS (SELECT r, i - 1 AS i, CASE {cases} END AS label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
 b AS (SELECT r, CAST(count(*) AS BIGINT) AS n_base, CAST(min(i) AS BIGINT) AS first_word, CAST(max(i) AS BIGINT) AS last_word,
              list_sort(list_distinct(list(label))) AS ls FROM p WHERE label IS NOT NULL GROUP BY r),
-l AS (SELECT doc_id, {split.format("x")} AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
-k AS (SELECT doc_id, unnest(CASE WHEN len(w) <= {BLOCK_WORDS} THEN [w] ELSE list_transform(range(1, len(w) + 1, {BLOCK_WORDS // 2}), lambda i: w[i : i + {BLOCK_WORDS - 1}]) END) AS w FROM l WHERE len(w) > 0),
-t AS (SELECT * FROM (VALUES {rows}) AS t (t, label, ws)),
+k AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - {BLOCK_WORDS - STRIDE}) + 1, {STRIDE}), lambda i: w[i : i + {BLOCK_WORDS - 1}])) AS w FROM w WHERE len(w) > 0),
+t AS (SELECT * FROM (VALUES {rows}) AS t (t, label, ws, telling)),
 m AS (SELECT doc_id, label, max(len(list_intersect(k.w, t.ws)) / len(t.ws)) AS c FROM k, t
-      WHERE len(list_intersect(k.w, t.ws)) >= ceil({THRESHOLD} * len(t.ws) - 1e-9) GROUP BY doc_id, label),
+      WHERE len(list_intersect(k.w, t.ws)) >= ceil({THRESHOLD} * len(t.ws) - 1e-9) AND list_has_all(k.w, t.telling) GROUP BY doc_id, label),
 n AS (SELECT doc_id, list(label) AS ls, max(c) AS c FROM m GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(b.ls, ','), '') AS base_labels,
