@@ -4,9 +4,10 @@
    the same set are one class from here on, represented by its least id.
 2. Bands of the signature deal the representatives to buckets. In a bucket all are compared with its least member; a
    bucket whose members are linked already is done. Of the others, texts that share too few shingles with all other
-   texts left to be linked with any go out; then all are compared with the bucket's most central member, twice; what
-   still stands in different components goes through an exact prefix join. So a group of copies costs comparisons in proportion
-   to its size, while no link between components is lost.
+   texts left to be linked with any go out, and the rest are compared with the bucket's most central member. The texts
+   that still stand in buckets of several components go through an exact prefix join, which skips what one component
+   has in common. So a group of copies costs comparisons in proportion to its size, and no link between components is
+   lost.
 3. A candidate pair's signatures are compared batch by batch. With a uniform prior on the similarity, the posterior
    probability of reaching the threshold after m agreements in n is a binomial tail; a pair below ``MISS`` is pruned.
 4. Survivors are verified exactly on the full sets, and the verified links give the components.
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 
 from ..operators.stars import star_components
 from .bpe import blocks
-from .common import by_ids, id_text, materialize, read_documents, release
+from .common import by_ids, id_text, lean, materialize, read_documents, release
 
 ROWS = 5
 MISS = 1e-7
-#: Rounds of comparing a bucket with one member before the rest is joined across components.
-PIVOT_ROUNDS = 3
+#: A bucket is compared with one member, its least and then its most central one, before the rest is joined on prefixes.
+PIVOT_ROUNDS = 2
 
 _RNG = np.random.default_rng(20240601)
 _FACTORS = _RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,7 +104,7 @@ def profiles(docs: DataFrame, width: int, threshold: float) -> DataFrame:
                 sigs.append(signature(s, size).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,7 @@ def _prune(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(live))
 
     of = lambda side: reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -159,9 +160,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = materialize(id_text(by_ids(docs, needed)).mapInArrow(sets, "id long, s binary"), "sets")
+    held = materialize(id_text(by_ids(docs, needed)).mapInArrow(lean(sets), "id long, s binary"), "sets")
     of = lambda side: held.select(F.col("id").alias(side), F.col("s").alias(f"s_{side}"))
-    links = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long").distinct()
+    links = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(lean(run), "a long, b long").distinct()
     links = materialize(links, "links")
     release(held, needed)
     return links
@@ -176,7 +177,7 @@ def _shingle_rows(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             sizes = [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays([block["doc_id"].take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int64))], ["id", "h", "size"])
 
-    return materialize(id_text(by_ids(docs, ids)).dropDuplicates(["doc_id"]).mapInArrow(run, "id long, h long, size long"), "shingles")
+    return materialize(id_text(by_ids(docs, ids)).dropDuplicates(["doc_id"]).mapInArrow(lean(run), "id long, h long, size long"), "shingles")
 
 
 def _centrality(rest: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     profile = materialize(profiles(docs, width, percent / 100), "profiles")
     classes = profile.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     reps = materialize(classes.select("set_key", F.col("rep").alias("id"), "sig"), "reps")
-    banded = reps.select("id", "sig").mapInArrow(_bands, "key long, id long")
+    banded = reps.select("id", "sig").mapInArrow(lean(_bands), "key long, id long")
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot <> _last").drop("_last")
     rows = materialize(banded.join(shared, "key"), "buckets")  # only buckets of two and more
     labels = central = None
@@ -259,11 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if central is None:
             central = _centrality(rest, docs, width)
         # a text shares with any other at most what it shares with all others together
-        sized = rest.join(central, "id")
-        least = sized.groupBy("key").agg(F.min("size").alias("_least"))
-        best = F.col("size") + F.greatest(F.lit(0), F.col("_least") - F.col("shared"))
-        open_ = sized.join(least, "key").where(100 * F.col("shared") >= percent * best).select("key", "id", "component", "size", "shared")
-        open_ = _mixed(open_)
+        open_ = _mixed(rest.join(central.where(100 * F.col("shared") >= percent * F.col("size")), "id"))
         middle = open_.groupBy("key").agg(F.max_by("id", F.struct(F.col("shared") / F.col("size"), -F.col("id"))).alias("pivot"))
         rows = materialize(open_.select("key", "id", "component").join(middle, "key"), "buckets")
         if rows.isEmpty():
