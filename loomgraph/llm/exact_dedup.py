@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, fresh, id_text, materialize, partitions, read_documents
+from .common import by_ids, fresh, id_text, lean, materialize, partitions, read_documents
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -155,8 +155,8 @@ def digests(docs: DataFrame, normalised: Column | None = None) -> DataFrame:
 
 def build_index(keyed: DataFrame, shards: int | None = None) -> DataFrame:
     """(digest, keep_id, group_size), one row per distinct digest of ``keyed`` (doc_id, digest)."""
-    folded = keyed.select("doc_id", "digest").mapInArrow(_fold, _CLASSES)
-    return folded.repartition(shards or partitions(keyed.sparkSession), "digest").mapInArrow(_index_shard, _CLASSES)
+    folded = keyed.select("doc_id", "digest").mapInArrow(lean(_fold), _CLASSES)
+    return folded.repartition(shards or partitions(keyed.sparkSession), "digest").mapInArrow(lean(_index_shard), _CLASSES)
 
 
 def update_index(index: DataFrame, inserts: DataFrame | None = None, deletes: DataFrame | None = None, shards: int | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def update_index(index: DataFrame, inserts: DataFrame | None = None, deletes: Da
     if deletes is not None:
         rows = rows.unionByName(deletes.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(-1).cast("long").alias("group_size"), F.lit(1).alias("o")))
     dealt = rows.repartition(shards or partitions(index.sparkSession), "digest").sortWithinPartitions("o").drop("o")
-    return dealt.mapInArrow(_index_shard, _CLASSES)
+    return dealt.mapInArrow(lean(_index_shard), _CLASSES)
 
 
 def exact_duplicates(docs: DataFrame, normalised: Column | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import blocks
-from .common import id_text, read_documents
+from .common import id_text, lean, read_documents
 from .toxicity import fold
 
 #: Bounds on the rows of the fit.
@@ -67,7 +67,7 @@ def featurise(texts: DataFrame) -> DataFrame:
             x = pa.array([np.asarray(features(t), np.float32) for t in block["text"].to_pylist()], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*(block[c] for c in rest), x], [*rest, "x"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | fl
                 s = 1 / (1 + np.exp(-np.clip(np.clip((x - mean) / scale, -8, 8) @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, score double")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,19 +1,24 @@
 """Removal of repeated substrings: every byte under a ``LEAST``-byte string that also starts earlier.
 
-1. Every window of ``LEAST`` bytes has a minimiser, the ``GRAM``-byte string with the least hash in it (the leftmost on
-   ties). Equal windows have equal minimisers at equal places, so only stretches around a minimiser that occurs twice
-   can repeat. Stretches are counted by minimiser; those that occur once end here.
+1. Every window of ``LEAST`` bytes has a minimiser, the ``GRAM``-byte string with the least 64-bit hash in it (the
+   leftmost on ties). It depends on the window's bytes alone, so equal windows have equal minimisers at equal places,
+   and only stretches around a minimiser that occurs twice can repeat. Stretches are counted by minimiser; those that
+   occur once end here.
 2. The bytes of the others are dealt by minimiser to shards. A shard folds equal stretches and finds the classes of
    equal windows among the distinct ones by interval expansion on a Burrows-Wheeler transform (``bwt.py``), a few
    hundred kilobytes at a time. The earliest window of a class stays.
-3. A minimiser with more than ``HOT`` stretches (a passage that a good part of the corpus shares) isn't given to one
-   task: its windows are dealt by their own content instead and folded to their earliest place before the shuffle.
+3. The stretches of a minimiser that occurs more than ``FREQUENT`` times (in a passage that a good part of the corpus
+   shares) don't fit one task. They are parted by the content next to it: ``PART`` windows whose places relative to the
+   minimiser are next to each other share all but ``PART`` - 1 bytes at either end, and go by what they share. Equal
+   parts are folded before the shuffle, the distinct ones go through the same shards.
 
-The memory of a task is bounded by ``HOT`` stretches or one document, whichever is larger.
+The memory of a task is bounded by ``FREQUENT`` stretches, by the distinct few bytes that surround one string, or by one
+document, whichever is largest; texts are worked through in segments.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +30,19 @@ from pyspark.sql import types as T
 
 from .bpe import blocks
 from .bwt import classes
-from .common import id_text, materialize, partitions, read_documents, release
+from .common import id_text, lean, materialize, partitions, read_documents, release
 
 LEAST = 100
 GRAM = 28
-HOT = 4096
-#: Bytes that one transform is built over, about.
+FREQUENT = 4096
+#: Windows of one part of a frequent minimiser's stretch.
+PART = 8
+#: Bytes that one transform is built over, about, and window starts of a text that are looked at together.
 CHUNK = 1 << 19
+SEGMENT = 1 << 19
 
-#: A stretch's start and length in one integer; a stretch is shorter than 2 * LEAST bytes.
-_LENGTH_BITS = 10
+#: A stretch's start, its minimiser's place in it and its length in one integer; a stretch is shorter than 256 bytes.
+_PLACE_BITS, _LENGTH_BITS = 7, 8
 
 
 def _gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -57,79 +65,115 @@ def _gram_hashes(text: np.ndarray) -> np.ndarray:
     return h28 ^ (h28 >> np.uint64(29))
 
 
-def stretches(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, last window, minimiser) of every run of windows with one minimiser.
+def stretches(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, last window, minimiser's place, minimiser) of every run of windows with one minimiser.
 
     ``text`` is the documents' bytes one behind another, ``ends`` their ends; places are those of ``text``.
     """
     none = np.empty(0, np.int64)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    if len(text) < LEAST:
-        return none, none, none, none.astype(np.uint64)
-    h = _gram_hashes(text)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    width, span = 1, LEAST - GRAM + 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if span > width:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    place = (least & low).astype(np.int64)  # of the minimiser of the window that starts here
     lengths = np.maximum(0, ends - begins - LEAST + 1)
     total = int(lengths.sum())
     if not total:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
+    h = _gram_hashes(text)
+    least, place = h, np.arange(len(h), dtype=np.int32)  # of the grams that start in the next ``width`` places
+    width, span = 1, LEAST - GRAM + 1
+    while width < span:
+        step = min(width, span - width)
+        left, right = least[:-step], least[step:]
+        place = np.where(right < left, place[step:], place[:-step])
+        least = np.minimum(left, right)
+        width += step
     doc = np.repeat(np.arange(len(ends)), lengths)
     start = np.arange(total) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
     at = place[start]
     cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
     last = np.concatenate([cut[1:], [total]]) - 1
-    return doc[cut], start[cut], start[last], h[at[cut]]
+    place = at[cut].astype(np.int64)
+    return doc[cut], start[cut], start[last], place, h[place]
+
+
+def _segments(ids: np.ndarray, raw: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(documents, offsets, bytes) of about ``SEGMENT`` window starts at a time; every window is whole in one segment."""
+    held: tuple[list, list, list] = ([], [], [])
+    size = 0
+    for doc, text in zip(ids.tolist(), raw, strict=True):
+        for at in range(0, max(1, len(text) - LEAST + 1), SEGMENT):
+            part = text[at : at + SEGMENT + LEAST - 1]
+            for column, value in zip(held, (doc, at, part), strict=True):
+                column.append(value)
+            size += len(part)
+            if size >= SEGMENT:
+                yield held
+                held, size = ([], [], []), 0
+    if size:
+        yield held
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every stretch of the documents; one that a block of documents holds twice counts once, and its later places are
-    repeats at once (no minimiser: nothing more to find out)."""
-    for block in blocks(batches, "text", 1 << 20):
+    """Every stretch of the documents; one that a segment holds twice counts once, and its later places are repeats at
+    once (no minimiser: nothing more to find out)."""
+    for block in blocks(batches, "text"):
         ids = block["doc_id"].to_numpy(zero_copy_only=False)
         raw = [t.encode("utf-8", "replace") for t in block["text"].to_pylist()]
         order = np.argsort(ids, kind="stable")
         ids, raw = ids[order], [raw[i] for i in order.tolist()]
         fresh = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, bool)
         ids, raw = ids[fresh], [r for r, f in zip(raw, fresh.tolist(), strict=True) if f]
-        joined = b"".join(raw)
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        doc, first, last, minimiser = stretches(np.frombuffer(joined, np.uint8), ends)
-        if not len(doc):
-            continue
-        digest = xxhash.xxh3_64_intdigest
-        seg = np.fromiter((digest(joined[a : b + LEAST]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(doc))
-        both = seg * np.uint64(0x9E3779B97F4A7C15) ^ minimiser
-        _, earliest = np.unique(both, return_index=True)  # in order of document and place
-        repeat = np.ones(len(doc), bool)
-        repeat[earliest] = False
-        start = first - np.concatenate([[0], ends[:-1]])[doc]
-        span = start << _LENGTH_BITS | (last - first + LEAST)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(minimiser.view(np.int64), mask=repeat), pa.array(span)], ["doc_id", "minimiser", "span"])
+        for docs, offsets, parts in _segments(ids, raw):
+            joined = b"".join(parts)
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+            doc, first, last, place, minimiser = stretches(np.frombuffer(joined, np.uint8), ends)
+            if not len(doc):
+                continue
+            digest = xxhash.xxh3_64_intdigest
+            spans = list(zip(first.tolist(), (last + LEAST).tolist(), strict=True))
+            seg = np.fromiter((digest(joined[a:b]) for a, b in spans), np.uint64, len(doc))
+            _, earliest, kind = np.unique(seg * np.uint64(0x9E3779B97F4A7C15) ^ minimiser, return_index=True, return_inverse=True)  # in order of document and place
+            repeat = np.ones(len(doc), bool)
+            repeat[earliest] = False
+            for i in np.flatnonzero(repeat).tolist():  # digests agree: so must the bytes
+                (a, b), (c, d) = spans[i], spans[earliest[kind[i]]]
+                repeat[i] = joined[a:b] == joined[c:d]
+            start = first - np.concatenate([[0], ends[:-1]])[doc] + np.array(offsets, np.int64)[doc]
+            span = (start << _PLACE_BITS | place - first) << _LENGTH_BITS | last - first + LEAST
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[doc]), pa.array(minimiser.view(np.int64), mask=repeat), pa.array(span)], ["doc_id", "minimiser", "span"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted stretches of each document."""
-    for block in blocks(batches, "text", 1 << 20):
-        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    """The bytes of the wanted stretches of each document; frequent ones in parts, each with a key of what its windows
+    share."""
+    names, kinds = ["doc_id", "minimiser", "start", "frequent", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    rows: list[tuple[int, int, int, bool, bytes]] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal size
+        made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names)
+        rows.clear()
+        size = 0
+        return made
+
+    for block in blocks(batches, "text"):
         for doc, text, wanted in zip(block["doc_id"].to_pylist(), block["text"].to_pylist(), block["wanted"], strict=True):
             raw = text.encode("utf-8", "replace")
             fields = wanted.values
-            minimisers, spans, hot = (fields.field(f).to_pylist() for f in ("minimiser", "span", "hot"))
-            starts = [s >> _LENGTH_BITS for s in spans]
-            out[0].extend([doc] * len(spans))
-            out[1].extend(minimisers)
-            out[2].extend(starts)
-            out[3].extend(hot)
-            out[4].extend(raw[a : a + (s & (1 << _LENGTH_BITS) - 1)] for a, s in zip(starts, spans, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())], ["doc_id", "minimiser", "start", "hot", "bytes"])
+            for minimiser, span, frequent in zip(*(fields.field(f).to_pylist() for f in ("minimiser", "span", "frequent")), strict=True):
+                length, start = span & (1 << _LENGTH_BITS) - 1, span >> _LENGTH_BITS + _PLACE_BITS
+                if not frequent:
+                    rows.append((doc, minimiser, start, False, raw[start : start + length]))
+                else:
+                    place, last = start + (span >> _LENGTH_BITS & (1 << _PLACE_BITS) - 1), start + length - LEAST
+                    for k in range((place - last) // PART, (place - start) // PART + 1):
+                        edge = place - PART * k  # windows from edge - PART + 1 to edge share what lies between
+                        a, b = max(start, edge - PART + 1), min(last, edge)
+                        key = xxhash.xxh3_64_intdigest(raw[edge : edge - PART + 1 + LEAST], seed=k) ^ minimiser & (1 << 64) - 1
+                        rows.append((doc, key - (1 << 64) if key >> 63 else key, a, True, raw[a : b + LEAST]))
+                size += 2 * LEAST
+                if size > CHUNK:
+                    yield out()
+    yield out()
 
 
 def _expand(group: list[tuple[bytes, int, int]]) -> tuple[list[int], list[int], list[int]]:
@@ -209,45 +253,32 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the hot stretches with a 128-bit key of its content."""
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            keys, docs, starts = [], [], []
-            for doc, start, raw in zip(part["doc_id"].to_pylist(), part["start"].to_pylist(), part["bytes"].to_pylist(), strict=True):
-                n = len(raw) - LEAST + 1
-                keys.extend(digest(raw[j : j + LEAST]) for j in range(n))
-                docs.extend([doc] * n)
-                starts.extend(range(start, start + n))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())], ["window", "doc_id", "start"])
-
-
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b): byte runs that are covered by earlier occurrences; runs of one document may overlap."""
+def repeated_runs(docs: DataFrame) -> tuple[DataFrame, ...]:
+    """Tables (doc_id, a, b) of byte runs that are covered by earlier occurrences; runs of one document may overlap."""
     spark = docs.sparkSession
     texts = id_text(docs).where("doc_id is not null")
-    found = materialize(texts.mapInArrow(_find, "doc_id long, minimiser long, span long"), "stretches")
+    found = materialize(texts.mapInArrow(lean(_find), "doc_id long, minimiser long, span long"), "stretches")
     length = F.col("span").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
-    start = F.shiftright("span", _LENGTH_BITS)
+    start = F.shiftright("span", _PLACE_BITS + _LENGTH_BITS)
     at_once = materialize(found.where("minimiser is null").select("doc_id", start.alias("a"), (start + length).alias("b")), "runs")
     open_ = found.where("minimiser is not null")
-    shared = open_.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser", (F.col("n") > HOT).alias("hot"))
+    shared = open_.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser", (F.col("n") > FREQUENT).alias("frequent"))
     shared = materialize(shared, "shared")
-    wanted = open_.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "span", "hot")).alias("wanted"))
+    wanted = open_.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "span", "frequent")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     release(found, shared)
-    cut = materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut, "doc_id long, minimiser long, start long, hot boolean, bytes binary"), "bytes")
+    cut = materialize(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(lean(_cut), "doc_id long, minimiser long, start long, frequent boolean, bytes binary"), "bytes")
     release(wanted)
-    dealt = cut.where("not hot").select("minimiser", "doc_id", "start", "bytes").repartition(2 * partitions(spark), "minimiser").sortWithinPartitions("minimiser", "doc_id", "start")
-    cold = materialize(dealt.mapInArrow(_shard, "doc_id long, a long, b long"), "runs")
-    windows = cut.where("hot").select("doc_id", "start", "bytes").mapInArrow(_windows, "window binary, doc_id long, start long")
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("e"), F.max(F.struct("doc_id", "start")).alias("l")).where("e <> l").select("window", "e")
-    later = windows.join(earliest, "window").where(F.struct("doc_id", "start") > F.col("e"))
-    hot = materialize(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + LEAST).alias("b")), "runs")
-    release(cut)
-    return at_once.unionByName(cold).unionByName(hot)
+    names = ["minimiser", "doc_id", "start", "bytes"]
+    parts = cut.where("frequent")
+    first = materialize(parts.groupBy("minimiser", "bytes").agg(F.min(F.struct("doc_id", "start")).alias("e")).select("minimiser", "e.doc_id", "e.start", "bytes"), "parts")
+    earliest = first.select(F.col("minimiser").alias("m"), F.col("bytes").alias("s"), F.struct("doc_id", "start").alias("e"))
+    later = parts.join(earliest, (F.col("minimiser") == F.col("m")) & (F.col("bytes") == F.col("s"))).where(F.struct("doc_id", "start") > F.col("e"))
+    folded = materialize(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.octet_length("bytes")).alias("b")), "runs")
+    dealt = cut.where("not frequent").select(names).unionByName(first.select(names)).repartition(2 * partitions(spark), "minimiser").sortWithinPartitions("minimiser", "doc_id", "start")
+    expanded = materialize(dealt.mapInArrow(lean(_shard), "doc_id long, a long, b long"), "runs")
+    release(cut, first)
+    return at_once, folded, expanded
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -269,7 +300,7 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame
     a row without doc_id is left whole and doesn't count as an earlier occurrence. With ``whole_characters`` the parts of
     characters at the cut edges are left out of ``kept``, too.
     """
-    runs = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs")).withColumnRenamed("doc_id", "_id")
+    runs = functools.reduce(DataFrame.unionByName, repeated_runs(docs)).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs")).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("rest"))
     joined = texts.join(runs, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "runs", "rest")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))), joined.schema["rest"]])
@@ -291,7 +322,7 @@ def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame
                 kept.append(b"".join(pieces) if gone else raw)
             yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), block["rest"]], ["doc_id", "kept", "n_bytes", "removed", "rest"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .common import by_ids, id_text, materialize, read_documents
+from .common import by_ids, id_text, lean, materialize, read_documents
 
 #: Bound on the labelled rows that are learnt from.
 MAX_LABELLED = 200_000
@@ -144,7 +144,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def word_scores(training: DataFrame) -> tuple[dict[bytes, float], float]:
     """Significant words with their log-odds, and the share of clean documents' words among all (for the prior)."""
-    counts = training.select("text", "label").mapInArrow(_document_counts, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = training.select("text", "label").mapInArrow(lean(_document_counts), "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = {r["toxic"]: r["count"] for r in training.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}  # reads no text
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
@@ -176,7 +176,7 @@ def fit(training: DataFrame) -> Model:
     if not scores:
         model.slope, model.intercept = 0.0, math.log((share + 1e-3) / (1 - share + 1e-3)) if share else -5.0
         return model
-    rows = training.select("text", "label").mapInArrow(best, "label int, n long, found array<double>, hits array<double>").collect()  # at most MAX_LABELLED rows
+    rows = training.select("text", "label").mapInArrow(lean(best), "label int, n long, found array<double>, hits array<double>").collect()  # at most MAX_LABELLED rows
     clean = [r for r in rows if not r["label"]]
     steps = np.array(sorted(x for r in clean for x in r["hits"]))
     n_words = sum(r["n"] for r in clean)
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append([{"first": a, "last": b, "score": s, "expected": e} for a, b, s in found if (e := m.expected(s, n)) <= SIGNIFICANT])
             yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(passages, kind)], ["doc_id", "score", "n_words", "passages"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, score double, n_words long, passages array<struct<first:int,last:int,score:double,expected:double>>")
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, score double, n_words long, passages array<struct<first:int,last:int,score:double,expected:double>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:

@@ -200,15 +200,40 @@ def shared_passages(seed):
     return [*out, "ab" * 400, "b" + "ab" * 300, "z" * 99, "z" * 100, "z" * 101]
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_substrings_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize(("frequent", "segment"), [(4096, 1 << 19), (3, 1 << 19), (1, 300), (0, 150)])
+def test_substrings_equal_brute_force(spark, monkeypatch, frequent, segment):
+    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
     monkeypatch.setattr(substring_dedup, "CHUNK", 4096)
-    texts = dict(enumerate(shared_passages(hot)))
+    monkeypatch.setattr(substring_dedup, "SEGMENT", segment)
+    texts = dict(enumerate(shared_passages(segment)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     assert removed(docs)[0] == brute_removed(texts)
 
 
+def test_a_passage_of_a_very_long_text_is_found(spark):
+    passage = "gngbgnljxqpmhvfaunjceccidrxemltrqwkawveulpipjtlzguvwegqclcrmfhxwdbvtdkmpiqucmehysehyhwvkwhkhlnlvaxtc"
+    letters = np.random.default_rng(4).integers(97, 123, 17_000_000, dtype=np.uint8).tobytes().decode()
+    docs = spark.createDataFrame([(1, letters + "#" + passage), (2, "#" + passage + "!")], "doc_id long, text string").repartition(2)
+    assert {k: v[:3] for k, v in removed(docs)[0].items()} == {1: (17_000_000 + 1 + len(passage), 0, 0), 2: (len(passage) + 2, len(passage) + 1, 1)}
+
+
+def test_minimisers_are_the_leftmost_least_of_their_window():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(97, 99, n, dtype=np.uint8) for n in (0, 99, 100, 400, 250)] + [np.frombuffer(b"z" * 300, np.uint8)]
+    text, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+    h = substring_dedup._gram_hashes(text)
+    span = substring_dedup.LEAST - substring_dedup.GRAM + 1
+    windows = {}
+    for doc, first, last, place, minimiser in zip(*(x.tolist() for x in substring_dedup.stretches(text, ends)), strict=True):
+        windows |= {w: (doc, place, minimiser) for w in range(first, last + 1)}
+    want = {}
+    for doc, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        for w in range(a, b - substring_dedup.LEAST + 1):
+            place = w + int(h[w : w + span].argmin())
+            want[w] = (doc, place, int(h[place]))
+    assert windows == want
+
+
 def test_classes_equal_brute_force():
     rng = random.Random(6)
     text = "".join(rng.choice("ab") for _ in range(200))
