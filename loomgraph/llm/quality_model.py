@@ -1,34 +1,36 @@
 """Quality by positive-unlabelled learning.
 
-Trusted positives are documents labelled good; everything else of the training fold is unlabelled text, whatever its
+Trusted positives are documents labelled good; every document of the training fold is unlabelled text, whatever its
 label says. With class prior p, a linear model g over document statistics minimises the non-negative unbiased risk
 
-    p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)]),    l the logistic loss.
+    p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)]),    l(z) = (1 - z)^2 / 4.
 
-The prior is estimated as the share of good documents among the labelled training rows. The fit takes at most
-``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled rows (those with the smallest hash of their id); every
-document is scored, whole.
+Under the squared loss the risk needs no more of either side than the means of x and of x x', so it is taken over all
+trusted and all unlabelled rows in one pass each, without a sample, and minimised on the driver. The class prior is
+estimated from positive and unlabelled text alone: the share of unlabelled rows above a score can't be less than p times
+that of the positive ones, so the least ratio of the two tails bounds p from above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import blocks
-from .common import id_text, lean, read_documents
+from .common import id_text, lean, materialize, read_documents, release
 from .toxicity import fold
 
-#: Bounds on the rows of the fit.
-MAX_POSITIVE = 20_000
-MAX_UNLABELLED = 20_000
-STEPS = 300
-RIDGE = 1e-4
+STEPS = 400
+RIDGE = 1e-3
+#: Standardised statistics are cut off here. Bins of the scores whose tails are compared, and the least share of
+#: positive rows in a tail.
+CLIP = 6.0
+BINS = 400
+LEAST_TAIL = 0.2
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -57,80 +59,133 @@ def features(text: str) -> list[float]:
 N_FEATURES = 16 + len(_MARKS)
 
 
-def featurise(texts: DataFrame) -> DataFrame:
-    """The columns of ``texts`` but ``text``, and ``x`` (array of floats)."""
-    rest = [c for c in texts.columns if c != "text"]
-    schema = texts.select(*rest).schema.add("x", T.ArrayType(T.FloatType()))
+def featurise(docs: DataFrame) -> DataFrame:
+    """doc_id and ``x`` (32-bit floats, binary), one row per row. Null and empty texts have all statistics 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            x = pa.array([np.asarray(features(t), np.float32) for t in block["text"].to_pylist()], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*(block[c] for c in rest), x], [*rest, "x"])
+            x = [np.asarray(features(t), np.float32).tobytes() for t in block["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(x, pa.binary())], ["doc_id", "x"])
 
-    return texts.mapInArrow(lean(run), schema)
+    return id_text(docs).mapInArrow(lean(run), "doc_id long, x binary")
 
 
-def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, mean, scale) that minimise the non-negative risk by full-batch Adam.
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def _sums(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> dict[bool, np.ndarray]:
+    """Sums over the trusted (True) and over all rows of what ``of`` makes of a matrix of rows (a vector): one row per
+    task and side on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[bool, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, trusted = _matrix(batch), batch["trusted"].to_numpy(zero_copy_only=False).astype(bool)
+            for side, part in ((False, x), (True, x[trusted])):
+                if len(part):
+                    totals[side] = totals.get(side, 0) + of(part)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.bool_()), pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64()))], ["side", "total"])
+
+    parts = rows.mapInArrow(lean(run), "side boolean, total array<double>").select("side", F.posexplode("total").alias("i", "v"))
+    found = parts.groupBy("side", "i").agg(F.sum("v").alias("v")).collect()
+    return {side: np.array([r["v"] for r in sorted(found, key=lambda r: r["i"]) if r["side"] == side]) for side in (False, True)}
+
+
+def standardise(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -CLIP, CLIP)
+
+
+def non_negative_risk(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = STEPS) -> np.ndarray:
+    """The weights that minimise the non-negative risk, by Adam. Each side is given by its means of x and of x x'.
 
     Where the negative part would fall below zero its gradient is turned round, as the non-negative estimator asks.
     """
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0)
-    mean[0], scale[0] = 0.0, 1.0
-    scale[scale < 1e-6] = 1.0
-    p, u = (np.clip((a - mean) / scale, -8, 8) for a in (positive, unlabelled))
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    (mp, sp), (mu, su) = positive, unlabelled
+    w, m, v = np.zeros(len(mp)), np.zeros(len(mp)), np.zeros(len(mp))
+    loss = lambda mean, square, sign: (1 - 2 * sign * (w @ mean) + w @ square @ w) / 4
+    slope = lambda mean, square, sign: (square @ w - sign * mean) / 2
     for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        of_negative = u.T @ sigmoid(gu) / len(u) - prior * (p.T @ sigmoid(gp)) / len(p)
-        of_positive = -prior * (p.T @ sigmoid(-gp)) / len(p)
-        g = of_positive + (of_negative if negative >= 0 else -of_negative) + RIDGE * w
+        negative = loss(mu, su, -1) - prior * loss(mp, sp, -1)
+        of_negative = slope(mu, su, -1) - prior * slope(mp, sp, -1)
+        g = prior * slope(mp, sp, 1) + (of_negative if negative >= 0 else -of_negative) + RIDGE * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w, mean, scale
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray] | float:
-    """The model, or the prior alone where there are no positives or no other rows."""
-    texts = id_text(docs).where(fold(3) != 1)
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(3) != 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    share = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    positive = known.where("quality = 1").orderBy(*by_hash).limit(max_positive).select("doc_id", F.lit(1).alias("trusted"))
-    # a bounded choice of all ids of the fold, trusted ones among them: the unlabelled sample stands for the whole
-    unlabelled = texts.select("doc_id").where("doc_id is not null").orderBy(*by_hash).limit(max_unlabelled).select("doc_id", F.lit(0).alias("trusted"))
-    chosen = positive.unionByName(unlabelled)
-    rows = featurise(texts.join(F.broadcast(chosen), "doc_id").select("trusted", "text")).toPandas()
-    x = np.array(rows["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
-    trusted = rows["trusted"].to_numpy() == 1
-    if share is None or not trusted.any() or trusted.all():
-        return 0.5 if share is None else float(share)
-    prior = min(0.99, max(0.01, float(share)))
-    return non_negative_risk(x[trusted], x[~trusted], prior)
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray] | float) -> DataFrame:
-    """doc_id and ``score``, one row per row. Null and empty texts have all features 0 and are scored like any other."""
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 - t / steps)
+    return w
+
+
+def prior_from_tails(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The least ratio of the unlabelled to the positive rows' share above a score, from histograms of scores; two
+    standard errors are added, so that a thin tail doesn't decide by chance."""
+    tail = lambda h: h[::-1].cumsum()[::-1] / max(h.sum(), 1)
+    p, u = tail(positive), tail(unlabelled)
+    enough = p >= LEAST_TAIL
+    error = 2 * np.sqrt(u / max(unlabelled.sum(), 1) + p / max(positive.sum(), 1))
+    return float(np.clip(((u + error) / np.maximum(p, 1e-9))[enough].min(initial=1.0), 0.01, 0.99))
+
+
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fit(featured: DataFrame, labels: DataFrame) -> Model | float:
+    """(weights, mean, scale) from the table (doc_id, x), or a constant score where there are no positives.
+
+    Only rows outside the held-out fold count, and of the labels only the positive ones. A doc_id counts once.
+    """
+    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold(3) != 1)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
+    once = featured.where(F.col("doc_id").isNotNull() & (fold(3) != 1)).groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = materialize(once.join(trusted, "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "x"), "training")
+    first = _sums(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    if not len(first[True]):
+        return 0.5
+    n = first[False][0]
+    mean = first[False][1 : N_FEATURES + 1] / n
+    scale = np.sqrt(np.maximum(0, first[False][N_FEATURES + 1 :] / n - mean**2))
+    mean[0], scale[0] = 0.0, 1.0
+    scale[scale < 1e-6] = 1.0
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        z = standardise(x, mean, scale)
+        return np.concatenate([z.sum(0), (z.T @ z).ravel()])
+
+    second = _sums(rows, moments)
+    sides = {k: (second[k][:N_FEATURES] / first[k][0], second[k][N_FEATURES:].reshape(N_FEATURES, N_FEATURES) / first[k][0]) for k in (False, True)}
+    # positive against unlabelled rows, only to order them for the prior
+    between = np.linalg.solve(sides[True][1] + sides[False][1] + 1e-3 * np.eye(N_FEATURES), sides[True][0] - sides[False][0])
+
+    def histogram(x: np.ndarray) -> np.ndarray:
+        at = np.clip((standardise(x, mean, scale) @ between + 1) * BINS / 2, 0, BINS - 1).astype(int)
+        return np.bincount(at, minlength=BINS).astype(np.float64)
+
+    third = _sums(rows, histogram)
+    release(rows)
+    return non_negative_risk(sides[True], sides[False], prior_from_tails(third[True], third[False])), mean, scale
+
+
+def score(featured: DataFrame, model: Model | float) -> DataFrame:
+    """doc_id and ``score``, one row per row of the table (doc_id, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for batch in batches:
             if isinstance(model, float):
-                s = np.full(block.num_rows, model)
+                s = np.full(batch.num_rows, model)
             else:
                 w, mean, scale = model
-                x = np.array([features(t) for t in block["text"].to_pylist()], np.float64).reshape(-1, N_FEATURES)
-                s = 1 / (1 + np.exp(-np.clip(np.clip((x - mean) / scale, -8, 8) @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(s, pa.float64())], ["doc_id", "score"])
+                s = 1 / (1 + np.exp(-4 * np.clip(standardise(_matrix(batch), mean, scale) @ w, -8, 8)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return id_text(docs).mapInArrow(lean(run), "doc_id long, score double")
+    return featured.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted. Rows without doc_id are scored and not held out."""
-    scored = score(docs, fit(docs, labels))
+    """doc_id, held_out, score, predicted, one row per row. Rows without doc_id are scored and not held out.
+
+    Null and empty texts are scored like any other, equal texts equally, texts of any length whole.
+    """
+    featured = materialize(featurise(docs), "features")
+    scored = score(featured, fit(featured, labels))
     return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

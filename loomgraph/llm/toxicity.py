@@ -6,8 +6,9 @@ fixed drift. A linear scan finds every maximal-scoring segment of a text. The hi
 extreme-value law, P(S >= x) = 1 - exp(-K n e^(-lambda x)); its parameters come from the clean training documents, and
 a document's evidence is the calibrated sum over its significant segments.
 
-Labels are learnt from at most ``MAX_LABELLED`` rows (those with the smallest hash of their id); all documents are
-scored whole.
+Labels are learnt from at most ``MAX_LABELLED`` documents (those with the smallest hash of their id); all documents are
+scored whole. The segments of the labelled documents stay in a table; only sums, a histogram of word scores and two
+numbers a document come to the driver.
 """
 
 from __future__ import annotations
@@ -23,17 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .common import by_ids, id_text, lean, materialize, read_documents
+from .common import by_ids, id_text, lean, materialize, read_documents, release
 
-#: Bound on the labelled rows that are learnt from.
+#: Bound on the labelled documents that are learnt from.
 MAX_LABELLED = 200_000
-#: Pseudo-documents of the Dirichlet prior; least z-score, log-odds and documents of a word that counts as toxic.
+#: Pseudo-documents of the Dirichlet prior; least z-score and log-odds of a word that counts as toxic. Every such word
+#: does: as each needs several toxic documents, the bound on the labelled ones bounds the model.
 PRIOR = 200.0
 LEAST_Z = 3.0
 LEAST_ODDS = 1.0
-LEAST_DOCS = 5
-#: The model's size: at most so many words, the most significant.
-MAX_WORDS = 20_000
 DRIFT = 0.15
 #: Segments with a larger expected number in a clean text are not reported.
 SIGNIFICANT = 1.0
@@ -51,13 +50,17 @@ def fold(modulus: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held: int, bound: int) -> DataFrame:
-    """doc_id, text and label (0/1) of at most ``bound`` training rows; held-out rows are never among them.
+    """doc_id, text and label (0/1) of at most ``bound`` training documents; held-out rows are never among them.
 
-    The chosen labels are the broadcast side: their number is bounded, so the texts need no shuffle.
+    The chosen labels are the broadcast side: their number is bounded, so the texts need no shuffle. Where the table
+    repeats a doc_id its least text counts, once.
     """
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold(modulus) != held))
     chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column)).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return id_text(docs).join(F.broadcast(chosen), "doc_id")
+    held = id_text(docs).join(F.broadcast(chosen), "doc_id")
+    if held.groupBy("doc_id").count().where("count > 1").isEmpty():  # reads no text
+        return held
+    return held.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +121,18 @@ class Model:
         """Segments of at least this score that a clean text of n words is expected to have."""
         return self.k * max(n, 1) * math.exp(-self.lam * score)
 
+    def surprise(self, score: float, n: int) -> float:
+        """Minus the log of the probability that a clean text of n words has a segment of this score."""
+        log_expected = math.log(self.k * max(n, 1)) - self.lam * score
+        return -log_expected if log_expected < -18 else max(0.0, -math.log(-math.expm1(-math.exp(min(log_expected, 700)))))
+
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> float:
-        """Minus the log of the p-value of the best segment, and for each further one what it adds beyond chance."""
-        logs = sorted((max(0.0, -math.log(-math.expm1(-self.expected(s, n)) or 1e-300)) for _, _, s in found), reverse=True)
-        return min(200.0, sum(logs[:1]) + 0.5 * sum(x for x in logs[1:] if x > 1))
+        """The surprise of the best segment, and half of that of each further one that is beyond chance."""
+        logs = sorted((self.surprise(s, n) for _, _, s in found), reverse=True)
+        return sum(logs[:1]) + 0.5 * sum(x for x in logs[1:] if x > 1)
 
     def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.intercept))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(evidence) + self.intercept))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -154,8 +162,9 @@ def word_scores(training: DataFrame) -> tuple[dict[bytes, float], float]:
     yt, yc = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(yt / (n_toxic + PRIOR - yt + 1e-9)) - F.log(yc / (n_clean + PRIOR - yc + 1e-9))
     z = odds / F.sqrt(1 / yt + 1 / yc)
-    top = counts.where(F.col("toxic") >= LEAST_DOCS).select("word", odds.alias("odds"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
-    return {bytes(r["word"]): float(r["odds"]) for r in top}, n_toxic / n
+    scored = counts.where("toxic > 0").select("word", odds.alias("odds"), z.alias("z"))
+    telling = scored.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).collect()
+    return {bytes(r["word"]): float(r["odds"]) for r in telling}, n_toxic / n
 
 
 def fit(training: DataFrame) -> Model:
@@ -163,43 +172,51 @@ def fit(training: DataFrame) -> Model:
     scores, share = word_scores(training)
     model = Model(scores, DRIFT, 1.0, 1.0, 1.0, 0.0)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             rows = []
             for text, label in zip(block["text"].to_pylist(), block["label"].to_pylist(), strict=True):
                 words = words_of(text)
-                found = model.segments(words)
                 hits = [scores[w] for w in words if w in scores]
-                rows.append((label, len(words), [s for _, _, s in found], hits))
+                rows.append((label, len(words), [s for _, _, s in model.segments(words)], hits))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], ["label", "n", "found", "hits"])
 
     if not scores:
         model.slope, model.intercept = 0.0, math.log((share + 1e-3) / (1 - share + 1e-3)) if share else -5.0
         return model
-    rows = training.select("text", "label").mapInArrow(lean(best), "label int, n long, found array<double>, hits array<double>").collect()  # at most MAX_LABELLED rows
-    clean = [r for r in rows if not r["label"]]
-    steps = np.array(sorted(x for r in clean for x in r["hits"]))
-    n_words = sum(r["n"] for r in clean)
+    held = materialize(training.select("text", "label").mapInArrow(lean(segments), "label int, n long, found array<double>, hits array<double>"), "segments")
+    clean = held.where("label = 0")
+    steps = clean.select(F.explode("hits").alias("s")).groupBy("s").count().collect()  # a row per score of a word at most
+    step, times = (np.array([r[i] for r in steps], np.float64) for i in (0, 1))
+    n_clean, n_words = clean.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # lambda > 0 with sum over a clean text's words of p(s) e^(lambda s) = 1
     low, high = 1e-3, 20.0
-    mean = lambda lam: (np.exp(np.minimum(lam * steps, 500)).sum() + (n_words - len(steps)) * math.exp(-lam * DRIFT)) / max(n_words, 1)
+    mean = lambda lam: ((times * np.exp(np.minimum(lam * step, 500))).sum() + (n_words - times.sum()) * math.exp(-lam * DRIFT)) / max(n_words, 1)
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if mean(mid) < 1 else (low, mid)
     model.lam = low
-    maxima = [max(r["found"], default=0.0) for r in clean]
-    model.k = max(1e-9, len(clean) / max(1e-9, sum(max(r["n"], 1) * math.exp(-model.lam * m) for r, m in zip(clean, maxima, strict=True))))
-    x = np.array([model.evidence([(0, 0, s) for s in r["found"]], r["n"]) for r in rows])
-    model.slope, model.intercept = _logistic(x, np.array([float(r["label"] > 0) for r in rows]))
+    spread = clean.agg(F.sum(F.greatest("n", F.lit(1)) * F.exp(-model.lam * F.coalesce(F.array_max("found"), F.lit(0.0))))).first()[0] or 0.0
+    model.k = max(1e-9, n_clean / max(1e-9, spread))
+    expected = lambda s: F.log(F.lit(model.k) * F.greatest("n", F.lit(1))) - F.lit(model.lam) * s
+    surprise = lambda s: F.when(expected(s) < -18, -expected(s)).otherwise(F.greatest(F.lit(0.0), -F.log(-F.expm1(-F.exp(F.least(expected(s), F.lit(700.0)))))))
+    logs = held.select("label", F.transform("found", surprise).alias("logs"))
+    most = F.coalesce(F.array_max("logs"), F.lit(0.0))
+    beyond = F.aggregate("logs", F.lit(0.0), lambda total, x: total + F.when(x > 1, x).otherwise(0.0))
+    rows = logs.select("label", (most + 0.5 * (beyond - F.when(most > 1, most).otherwise(0.0))).alias("e")).collect()  # two numbers for each of MAX_LABELLED documents
+    release(held)
+    model.slope, model.intercept = _logistic(np.log1p([r["e"] for r in rows]), np.array([float(r["label"] > 0) for r in rows]))
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_words and the significant ``passages`` (first word, past the last, score, expected number).
 
-    Null and empty texts have no words and the score of no evidence. Every row of ``docs`` gives one row.
+    Null and empty texts have no words and the score of no evidence. Every row of ``docs`` gives one row, equal texts
+    equal scores. Of segments that tie none is preferred: all are reported. Texts of any length are scanned whole, in
+    memory proportional to their words.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS words
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled documents' words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

@@ -63,10 +63,18 @@ def test_index_follows_insertions_and_deletions(spark):
     index = exact_dedup.build_index(first)
     more = exact_dedup.digests(spark.createDataFrame([(9, "b"), (7, "c")], "doc_id long, text string"))
     gone = exact_dedup.digests(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string"))
-    got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.update_index(index, more, gone).collect()}
+    got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.update_index(index, first, more, gone).collect()}
     assert got == {hashlib.sha256(b"b").digest(): (9, 1), hashlib.sha256(b"c").digest(): (7, 1)}
 
 
+def test_the_next_document_stays_when_the_first_goes(spark):
+    keyed = lambda *rows: exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = keyed((1, "a"), (2, "a"), (3, "a"), (4, "b"))
+    index = exact_dedup.update_index(exact_dedup.build_index(held), held, deletes=keyed((3, "a"), (9, "a"), (5, "never")))
+    got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in index.collect()}
+    assert got == {hashlib.sha256(b"a").digest(): (2, 2), hashlib.sha256(b"b").digest(): (4, 1)}
+
+
 # --- near
 
 def brute_components(texts, width, percent):

@@ -85,9 +85,73 @@ def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     ones = np.ones((500, 1))
     good, bad = (np.hstack([ones, rng.normal(m, 1, (500, 2))]) for m in (2, -2))
-    w, mean, scale = quality_model.non_negative_risk(good[:250], np.vstack([good[250:], bad]), 0.33)
-    score = lambda x: ((x - mean) / scale) @ w
-    assert (score(good) > 0).mean() > 0.95 and (score(bad) < 0).mean() > 0.95
+    side = lambda x: (x.mean(0), x.T @ x / len(x))
+    w = quality_model.non_negative_risk(side(good[:250]), side(np.vstack([good[250:], bad])), 0.33)
+    assert (good @ w > 0).mean() > 0.95 and (bad @ w < 0).mean() > 0.95
+
+
+def test_prior_from_tails():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        positive = rng.normal(0.4, 0.2, 20_000)
+        unlabelled = np.concatenate([rng.normal(0.4, 0.2, int(20_000 * share)), rng.normal(-0.4, 0.2, int(20_000 * (1 - share)))])
+        made = [np.histogram(x, quality_model.BINS, (-1, 1))[0].astype(float) for x in (positive, unlabelled)]
+        assert abs(quality_model.prior_from_tails(*made) - share) < 0.05
+
+
+def test_quality_scores_equal_a_plain_recomputation(made):
+    import zlib
+
+    docs, labels = made
+    rows = {r["doc_id"]: np.asarray(quality_model.features(r["text"]), np.float32).astype(float) for r in docs.collect()}
+    train = [i for i in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()} & set(train)
+    u, p = np.array([rows[i] for i in train]), np.array([rows[i] for i in train if i in good])
+    mean, scale = u.mean(0), u.std(0)
+    mean[0], scale[0] = 0, 1
+    scale[scale < 1e-6] = 1
+    z = lambda x: np.clip((x - mean) / scale, -quality_model.CLIP, quality_model.CLIP)
+    side = lambda x: (z(x).mean(0), z(x).T @ z(x) / len(x))
+    (mp, sp), (mu, su) = side(p), side(u)
+    between = np.linalg.solve(sp + su + 1e-3 * np.eye(len(mp)), mp - mu)
+    bins = lambda x: np.bincount(np.clip((z(x) @ between + 1) * quality_model.BINS / 2, 0, quality_model.BINS - 1).astype(int), minlength=quality_model.BINS).astype(float)
+    w = quality_model.non_negative_risk((mp, sp), (mu, su), quality_model.prior_from_tails(bins(p), bins(u)))
+    for r in quality_model.classify(docs, labels).collect():
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-4 * np.clip(z(rows[r["doc_id"]]) @ w, -8, 8))), abs=1e-6)
+
+
+def test_toxicity_scores_equal_a_plain_recomputation(made):
+    import math
+
+    docs, labels = made
+    training = toxicity.labelled(docs, labels, "toxic", 5, 0, 10_000)
+    model = toxicity.fit(training)
+    rows = [(toxicity.words_of(r["text"]), r["label"]) for r in training.collect()]
+    n = [sum(1 for _, label in rows if label == side) for side in (0, 1)]
+    scores = {}
+    for word in {w for ws, _ in rows for w in ws}:
+        clean, toxic = (sum(1 for ws, label in rows if label == side and word in ws) for side in (0, 1))
+        prior = toxicity.PRIOR * (clean + toxic) / len(rows)
+        yt, yc = toxic + prior, clean + prior
+        odds = math.log(yt / (n[1] + toxicity.PRIOR - yt)) - math.log(yc / (n[0] + toxicity.PRIOR - yc))
+        if toxic and odds >= toxicity.LEAST_ODDS and odds / math.sqrt(1 / yt + 1 / yc) >= toxicity.LEAST_Z:
+            scores[word] = odds
+    assert model.scores == pytest.approx(scores, abs=1e-6) and set(scores) == {b"vile", b"rotten", b"filth"}
+    clean = [(ws, model.segments(ws)) for ws, label in rows if not label]
+    every = [scores.get(w, -toxicity.DRIFT) for ws, _ in clean for w in ws]
+    assert np.mean(np.exp(model.lam * np.array(every))) == pytest.approx(1, abs=1e-3) or model.lam > 19.9
+    spread = sum(max(len(ws), 1) * math.exp(-model.lam * max((s for *_, s in found), default=0.0)) for ws, found in clean)
+    assert model.k == pytest.approx(len(clean) / spread, rel=1e-6)
+    evidence = np.array([model.evidence(model.segments(ws), len(ws)) for ws, _ in rows])
+    slope, intercept = toxicity._logistic(np.log1p(evidence), np.array([float(label) for _, label in rows]))
+    assert (model.slope, model.intercept) == pytest.approx((slope, intercept), rel=1e-4)
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 0, 0)], LABELS)
+    got = {(r["doc_id"], r["text"]) for r in toxicity.labelled(docs, labels, "toxic", 1, 7, 100).collect()}
+    assert got == {(1, "a"), (2, "c")}
 
 
 def test_held_out_rows_are_never_learnt_from(spark, made):
