@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import prefix_scan
 from ..plans.state import cut
+from .prep import relabel
 
 
 def vertex_balanced(vertices: DataFrame, n: int, parts: int) -> DataFrame:
@@ -66,6 +67,15 @@ def edges_by(edges: DataFrame, ranges: DataFrame, end: str = "dst") -> DataFrame
     return held.repartition("part").sortWithinPartitions("part", end)
 
 
+def map_parts(edges: DataFrame, ranges: DataFrame, *results: Column, end: str = "dst") -> DataFrame:
+    """part and ``results`` (aggregates over a part's edges), one row per part that has edges.
+
+    Partial results fold before they move, so a part with most of the edges is no task of its own.
+    """
+    first, *rest = results
+    return edges.join(ranges.select(F.col("id").alias(end), "part"), end).groupBy("part").agg(first, *rest)
+
+
 def sub_graph(edges: DataFrame, low: int, high: int, end: str = "dst") -> DataFrame:
     """Edges whose end lies in [low, high)."""
     return edges.where(F.col(end).between(low, high - 1))
@@ -87,6 +97,22 @@ def hilbert_key(x: Column, y: Column, bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda s: s["d"]) if bits else F.lit(0).cast("long")
 
 
+def hilbert_point(key: Column, bits: int) -> Column:
+    """(x, y) as a struct at a distance along the curve, the inverse of ``hilbert_key``: a fold from the lowest bits."""
+    zero = F.lit(0).cast("long")
+
+    def step(s: Column, k: Column) -> Column:
+        pair = F.call_function("shiftright", key.cast("long"), 2 * k).bitwiseAND(F.lit(3).cast("long"))
+        rx, ry = F.when(pair >= 2, 1).otherwise(0), F.when(pair.isin(1, 2), 1).otherwise(0)
+        side = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        flip = (ry == 0) & (rx == 1)
+        px, py = (F.when(flip, side - 1 - s[c]).otherwise(s[c]) for c in "xy")
+        return F.struct((F.when(ry == 0, py).otherwise(px) + side * rx).alias("x"), (F.when(ry == 0, px).otherwise(py) + side * ry).alias("y"))
+
+    start = F.struct(zero.alias("x"), zero.alias("y"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), start, step) if bits else start
+
+
 def hilbert_order(edges: DataFrame, m: int) -> DataFrame:
     """Edges with ``hkey`` on the grid whose side is the least power of two >= m, dealt in ranges and sorted by it."""
     bits = max(0, (m - 1).bit_length()) if m > 1 else 0
@@ -164,3 +190,8 @@ def vebo(degrees: DataFrame, parts: int = 384) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(t[at, 2] + place - t[at, 0]), pa.array(t[at, 1].astype(np.int32))], ["old_id", "new_id", "part_id"])
 
     return placed.mapInArrow(run, "old_id long, new_id long, part_id int")
+
+
+def vebo_graph(edges: DataFrame, degrees: DataFrame, parts: int = 384) -> DataFrame:
+    """``edges`` under the ids that ``vebo`` gives, ready to be written."""
+    return relabel(edges, cut(vebo(degrees, parts)).select("old_id", "new_id"))

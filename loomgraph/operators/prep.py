@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash32
 from ..functions.sequence import prefix_scan
 
 
@@ -51,6 +52,11 @@ def matrix_entries(edges: DataFrame) -> DataFrame:
     return edges.where("weight <> 0").select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").cast("double").alias("val"))
 
 
+def edges_from_matrix(entries: DataFrame) -> DataFrame:
+    """(src, dst) of a matrix's entries (row, col, ...), whatever their values."""
+    return entries.select(F.col("row").alias("src"), F.col("col").alias("dst"))
+
+
 def numbered(edges: DataFrame) -> DataFrame:
     """``edges`` with pos in (src, dst, weight) order."""
     return prefix_scan(edges, ["src", "dst", "weight"], F.lit(1).cast("long"), "pos", inclusive=False)
@@ -69,8 +75,8 @@ def relabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def random_mapping(vertices: DataFrame, seed: int = 0) -> DataFrame:
-    """(old_id, new_id): a permutation onto 0..n-1 that depends on the seed and the ids alone."""
-    shuffled = vertices.select("id", F.xxhash64("id", F.lit(seed)).alias("_h"))
+    """(old_id, new_id): a permutation onto 0..n-1 that depends on the seed and the ids alone (32-bit hashes, then ids)."""
+    shuffled = vertices.select("id", hash32(F.col("id").bitwiseXOR(hash32(F.lit(seed)))).alias("_h"))
     return prefix_scan(shuffled, ["_h", "id"], F.lit(1).cast("long"), "new_id", inclusive=False).select(F.col("id").alias("old_id"), "new_id")
 
 

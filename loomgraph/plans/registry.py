@@ -328,7 +328,16 @@ def part_edge_balanced(spark, d):
     return partition.edge_balanced(in_degrees(sparse(spark, d)), PARTS)
 
 
-@register("part_greedy")
+#: A range closes at the mean, or where the next vertex would lift it over 1.1 times the mean.
+_GREEDY = f"""k AS MATERIALIZED (SELECT id, row_number() OVER w AS rn, CAST(sum(degree) OVER w AS BIGINT) AS upto, CAST(sum(degree) OVER () AS BIGINT) // {PARTS} AS mean FROM i WINDOW w AS (ORDER BY id)),
+  n AS MATERIALIZED (SELECT *, lead(upto) OVER (ORDER BY rn) AS next_upto FROM k),
+  g(rn, id, part, base) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), 0, CAST(0 AS BIGINT) UNION ALL
+    SELECT n.rn, n.id, CASE WHEN h.shut THEN h.part + 1 ELSE h.part END, CASE WHEN h.shut THEN h.upto ELSE h.base END
+    FROM (SELECT g.rn, part, base, upto, coalesce(part < {PARTS - 1} AND (upto - base >= mean OR next_upto - base > CAST(1.1 AS DOUBLE) * mean), false) AS shut
+          FROM g LEFT JOIN n ON n.rn = g.rn) h JOIN n ON n.rn = h.rn + 1)"""
+
+
+@register("part_greedy", f"WITH RECURSIVE {SPARSE}, {_IN}, {_GREEDY} SELECT id, CAST(part AS INTEGER) AS part FROM g WHERE rn > 0")
 def part_greedy(spark, d):
     return partition.greedy_ranges(in_degrees(sparse(spark, d)), PARTS)
 
@@ -360,10 +369,19 @@ def sub_graph(spark, d):
     return partition.sub_graph(tables.part_chain_sparse(spark, d), 100, 400)
 
 
-@register("hilbert_order")
+#: One step a bit, from the highest; coordinates keep to the bits of the grid.
+_HILBERT = """z AS (SELECT CASE WHEN count(*) > 1 THEN length(bin(count(*) - 1)) ELSE 0 END AS bits FROM e),
+  h(src, dst, x, y, d, k) AS (SELECT src, dst, src, dst, CAST(0 AS BIGINT), bits FROM e, z UNION ALL
+    SELECT src, dst, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN xor(y, mask) ELSE y END ELSE x END,
+           CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN xor(x, mask) ELSE x END ELSE y END, d * 4 + xor(3 * rx, ry), k - 1
+    FROM (SELECT *, (x >> (k - 1)) & 1 AS rx, (y >> (k - 1)) & 1 AS ry, (CAST(1 AS BIGINT) << 40) - 1 AS mask FROM h WHERE k > 0))"""
+
+
+@register("hilbert_order", f"WITH RECURSIVE {SPARSE}, {_HILBERT} SELECT src, dst, CAST(d AS BIGINT) AS hkey, row_number() OVER (ORDER BY d, src, dst) - 1 AS place FROM h WHERE k = 0")
 def hilbert_order(spark, d):
     g = sparse(spark, d)
-    return partition.hilbert_order(g.edges.select("src", "dst"), g.m)
+    ordered = partition.hilbert_order(g.edges.select("src", "dst"), g.m)
+    return sequence.prefix_scan(ordered, ["hkey", "src", "dst"], F.lit(1).cast("long"), "place", inclusive=False)
 
 
 @register("csr_order", f"WITH {SPARSE} SELECT src, dst, weight FROM e")
@@ -371,12 +389,21 @@ def csr_order(spark, d):
     return prep.csr_order(tables.part_chain_sparse(spark, d))
 
 
-@register("vebo")
+#: Vertices go one by one to the least load; within a degree the ids are then dealt to the parts in order.
+VEBO = f"""r AS MATERIALIZED (SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) AS rn, row_number() OVER (PARTITION BY degree ORDER BY id) AS nth FROM i),
+  q(rn, part, edges, sizes) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS BIGINT) FOR x IN range({PARTS})], [CAST(0 AS BIGINT) FOR x IN range({PARTS})] UNION ALL
+    SELECT rn, pick, [CASE WHEN j = pick THEN edges[j] + degree ELSE edges[j] END FOR j IN range(1, {PARTS + 1})], [CASE WHEN j = pick THEN sizes[j] + 1 ELSE sizes[j] END FOR j IN range(1, {PARTS + 1})]
+    FROM (SELECT r.rn, degree, edges, sizes, CAST(CASE WHEN degree > 0 THEN list_position(edges, list_min(edges)) ELSE list_position(sizes, list_min(sizes)) END AS BIGINT) AS pick FROM q JOIN r ON r.rn = q.rn + 1)),
+  dealt AS (SELECT degree, part, row_number() OVER (PARTITION BY degree ORDER BY part) AS nth FROM q JOIN r USING (rn)),
+  z AS MATERIALIZED (SELECT r.id AS old_id, row_number() OVER (ORDER BY part, r.degree DESC, r.id) - 1 AS new_id, CAST(part - 1 AS INTEGER) AS part_id FROM r JOIN dealt USING (degree, nth))"""
+
+
+@register("vebo", f"WITH RECURSIVE {SPARSE}, {_IN}, {VEBO} SELECT old_id, new_id, part_id FROM z")
 def vebo(spark, d):
     return partition.vebo(in_degrees(sparse(spark, d)), PARTS)
 
 
-@register("random_reorder")
+@register("random_reorder", f"WITH {SPARSE} SELECT id AS old_id, row_number() OVER (ORDER BY {_hash_sql(f'xor(id, {_hash_sql(chr(55))})')}, id) - 1 AS new_id FROM v")
 def random_reorder(spark, d):
     return prep.random_mapping(sparse(spark, d).vertices, 7)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import prefix_scan
+from ..operators.prep import edges_from_matrix
 from ..plans.state import cut
 
 #: Separators of tokens: CR, TAB, LF, NUL and SPACE.
@@ -171,6 +172,11 @@ def read_csr_binary(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path).mapInArrow(run, "row long, col long, val double")
 
 
+def _matrix_side(spark: SparkSession, path: str) -> int:
+    head = _whole(spark, path).select(F.substring("content", 1, 16).alias("h")).first()["h"]
+    return max(struct.unpack("<2q", bytes(head)))
+
+
 def read_graph(spark: SparkSession, path: str, fmt: str = "adjacency") -> tuple[DataFrame, DataFrame]:
     if fmt in ("adjacency", "text"):
         return read_adjacency(spark, path)
@@ -184,6 +190,13 @@ def read_graph(spark: SparkSession, path: str, fmt: str = "adjacency") -> tuple[
         return edges, spark.range((edges.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1).select("id")
     if fmt == "three":
         return read_three_files(spark, path)
+    if fmt in ("matrix_market", "csr"):
+        if fmt == "csr":
+            entries, n = read_csr_binary(spark, path), _matrix_side(spark, path)
+        else:
+            entries, size = read_matrix_market(spark, path)
+            n = max(size)
+        return edges_from_matrix(entries).withColumn("weight", F.lit(1).cast("long")), spark.range(n).select("id")
     raise ValueError(f"unknown format {fmt}")
 
 
@@ -217,6 +230,24 @@ def write_edge_array(edges: DataFrame, path: str, weighted: bool = False) -> Non
     _write_lines([_lines(edges.sparkSession, WEIGHTED_EDGES if weighted else EDGES), placed.select(F.concat_ws(" ", *names).alias("line"), "at")], path)
 
 
+def write_matrix_market(entries: DataFrame, rows: int, cols: int, path: str) -> None:
+    """``entries`` (row, col, val; from 0) with the size line, in (row, col) order."""
+    placed = cut(prefix_scan(entries.select("row", "col", "val"), ["row", "col"], F.lit(1).cast("long"), "at", inclusive=False))
+    head = _lines(entries.sparkSession, "%%MatrixMarket matrix coordinate real general", f"{rows} {cols} {placed.count()}")
+    _write_lines([head, placed.select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("val")).alias("line"), "at")], path)
+
+
+def write_snap(edges: DataFrame, path: str) -> None:
+    """Lines of src and dst between tabs, behind a comment line."""
+    placed = prefix_scan(edges.select("src", "dst"), ["src", "dst"], F.lit(1).cast("long"), "at", inclusive=False)
+    _write_lines([_lines(edges.sparkSession, "# FromNodeId\tToNodeId"), placed.select(F.concat_ws("\t", "src", "dst").alias("line"), "at")], path)
+
+
+def write_numbers(values: DataFrame, path: str, kind: str = "double") -> None:
+    """``values`` (at, value) one a line in the text form of ``kind``, without a header."""
+    _write_lines([values.select(number_text(F.col("value"), kind).alias("line"), "at")], path)
+
+
 def write_integers(values: DataFrame, path: str) -> None:
     """``values`` (at, value) as a file of integers."""
     _write_lines([_lines(values.sparkSession, INTEGERS), values.select(F.col("value").alias("line"), "at")], path)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import convert
 from loomgraph.sources import files
 
 from .test_graph import EDGES, WEIGHTS
@@ -100,3 +101,34 @@ def test_integers_and_edge_binary(spark, tmp_path):
 def test_number_text(spark):
     got = spark.range(1).select(files.number_text(F.lit(1234.5), "double").alias("d"), files.number_text(F.lit(12), "long").alias("l")).first()
     assert tuple(got) == ("1.23450000000e+03", "12")
+
+
+def test_matrix_market_snap_and_numbers_round_trip(spark, tmp_path):
+    entries = spark.createDataFrame([(0, 2, 1.5), (1, 0, -2.0), (2, 2, 4.0)], "row long, col long, val double")
+    files.write_matrix_market(entries, 3, 4, str(tmp_path / "m"))
+    back, size = files.read_matrix_market(spark, str(tmp_path / "m"))
+    assert rows(back, "row", "col", "val") == [(0, 2, 1.5), (1, 0, -2.0), (2, 2, 4.0)] and size == (3, 4)
+    edges, vertices = files.read_graph(spark, str(tmp_path / "m"), "matrix_market")
+    assert rows(edges, "src", "dst") == [(0, 2), (1, 0), (2, 2)] and vertices.count() == 4
+    files.write_snap(edges, str(tmp_path / "s"))
+    assert rows(files.read_snap(spark, str(tmp_path / "s"))[0], "src", "dst") == [(0, 2), (1, 0), (2, 2)]
+    files.write_numbers(spark.createDataFrame([(0, 0.5), (1, 3.0)], "at long, value double"), str(tmp_path / "n"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "n")).collect()] == ["5.00000000000e-01", "3.00000000000e+00"]
+
+
+def test_conversions(spark, tmp_path):
+    (tmp_path / "snap").write_text("# a comment\n0\t1\n1\t2\n0\t1\n2\t2\n")
+    convert.snap_to_adjacency(spark, str(tmp_path / "snap"), str(tmp_path / "once"))
+    convert.snap_to_adjacency(spark, str(tmp_path / "snap"), str(tmp_path / "both"), symmetric=True)
+    assert rows(files.read_adjacency(spark, str(tmp_path / "once"))[0], "src", "dst") == [(0, 1), (1, 2), (2, 2)]
+    assert rows(files.read_adjacency(spark, str(tmp_path / "both"))[0], "src", "dst") == [(0, 1), (1, 0), (1, 2), (2, 1)]
+    (tmp_path / "six").write_text(SIX)
+    convert.adjacency_to_galois(spark, str(tmp_path / "six"), str(tmp_path / "six.gr"))
+    convert.galois_to_adjacency(spark, str(tmp_path / "six.gr"), str(tmp_path / "again"))
+    assert rows(files.read_adjacency(spark, str(tmp_path / "again"))[0], "src", "dst") == sorted(EDGES)
+    convert.transpose_adjacency(spark, str(tmp_path / "six"), str(tmp_path / "turned"))
+    assert rows(files.read_adjacency(spark, str(tmp_path / "turned"))[0], "dst", "src") == sorted(EDGES)
+    convert.weigh_adjacency(spark, str(tmp_path / "six"), str(tmp_path / "weighed"))
+    assert all(0 <= r.weight < 20 for r in files.read_adjacency(spark, str(tmp_path / "weighed"))[0].collect())
+    mapping = {r.old_id: r.new_id for r in convert.reorder_adjacency(spark, str(tmp_path / "six"), str(tmp_path / "ordered"), parts=2).collect()}
+    assert rows(files.read_adjacency(spark, str(tmp_path / "ordered"))[0], "src", "dst") == sorted((mapping[s], mapping[d]) for s, d in EDGES)

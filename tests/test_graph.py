@@ -201,3 +201,9 @@ def test_subset_round_trip_and_stats(six):
     assert column(em.to_sparse(dense), "id") == [1, 4]
     assert tuple(em.subset_stats(dense).first()) == (2, 6)
     assert tuple(em.subset_stats(em.seed(six, none=True)).first()) == (0, 0)
+
+
+def test_hilbert_point_is_the_inverse_of_the_key(spark):
+    grid = spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y"))
+    back = grid.select("x", "y", partition.hilbert_key(F.col("x"), F.col("y"), 4).alias("d")).select("x", "y", "d", partition.hilbert_point(F.col("d"), 4).alias("p")).collect()
+    assert sorted(r.d for r in back) == list(range(256)) and all((r.p.x, r.p.y) == (r.x, r.y) for r in back)
