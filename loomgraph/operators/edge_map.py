@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.state import cut
+from ..plans.state import cut_counting
 from .graph import Graph
 
 #: Commutative, associative folds of messages.
@@ -42,8 +42,7 @@ def messages(graph: Graph, state: DataFrame, program: EdgeProgram, everyone: boo
     """(dst, msg): the folded messages of active sources; ``everyone`` leaves the test for ``active`` out of the plan."""
     senders = state if everyone or "active" not in state.columns else state.where("active")
     source = senders.select(F.col("id").alias("src"), *(F.col(c).alias(f"s_{c}") for c in state.columns if c not in {"id", "active"}))
-    sent = graph.by_src.join(source, "src")
-    return sent.groupBy("dst").agg(COMBINE[program.combine](program.message).alias("msg"))
+    return graph.along(source).groupBy("dst").agg(COMBINE[program.combine](program.message).alias("msg"))
 
 
 def edge_map(graph: Graph, state: DataFrame, program: EdgeProgram, everyone: bool = False) -> DataFrame:
@@ -94,9 +93,9 @@ def seed(graph: Graph, source: int | None = None, none: bool = False) -> DataFra
 
 
 def run_rounds(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], max_rounds: int | None = None) -> tuple[DataFrame, int]:
-    """Apply ``step`` until no vertex is active; (state, rounds). One write and one count per round."""
-    number = 0
-    while (max_rounds is None or number < max_rounds) and not state.where("active").isEmpty():
+    """Apply ``step`` until no vertex is active; (state, rounds). One job per round: the write counts who is active."""
+    number, active = 0, not state.where("active").isEmpty()
+    while (max_rounds is None or number < max_rounds) and active:
         number += 1
-        state = cut(step(state, number))
+        state, active = cut_counting(step(state, number), F.col("active"))
     return state, number

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.state import cut
+from ..plans.state import cut_dealt
 from .edge_map import EdgeProgram, messages
 from .graph import Graph
 
@@ -26,7 +26,7 @@ def pagerank(graph: Graph, max_rounds: int = 10, epsilon: float = EPSILON) -> Da
     state = graph.ids.select("id", "out_degree", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("moved"))
     for _ in range(max_rounds):
         new = F.lit(DAMPING) * F.col("got") + F.lit((1 - DAMPING) / n)
-        state = cut(_pull(graph, state, F.col("s_rank") / F.col("s_out_degree")).select("id", "out_degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        state = cut_dealt(_pull(graph, state, F.col("s_rank") / F.col("s_out_degree")).select("id", "out_degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
         if l1(state) < epsilon:
             break
     return state.select("id", "rank")
@@ -41,12 +41,12 @@ def pagerank_shrinking(graph: Graph, max_rounds: int = 10, epsilon: float = EPSI
     n = graph.n
     state = graph.ids.select("id", "out_degree", F.lit(1.0 / n).alias("c"), F.lit(0.0).alias("x"), F.lit(True).alias("active"), F.lit(0.0).alias("moved"))
     for _ in range(max_rounds):
-        sent = graph.by_src.join(state.where("active").select(F.col("id").alias("src"), (F.col("c") / F.col("out_degree")).alias("share")), "src").groupBy("dst").agg(F.sum("share").alias("got"))
+        sent = messages(graph, state, EdgeProgram(F.col("s_c") / F.col("s_out_degree"), "sum")).withColumnRenamed("msg", "got")
         met = state.join(sent, F.col("id") == F.col("dst"), "left")
         added = F.col("x") + F.coalesce("got", F.lit(0.0))
         x = F.when(F.col("active"), DAMPING * added + (1 - DAMPING) / n).otherwise(added)
         moved = F.abs(F.col("c") - x)
-        state = cut(met.select("id", "out_degree", x.alias("c"), F.when(F.col("active"), 0.0).otherwise(moved).alias("x"), F.col("got").isNotNull().alias("active"), moved.alias("moved")))
+        state = cut_dealt(met.select("id", "out_degree", x.alias("c"), F.when(F.col("active"), 0.0).otherwise(moved).alias("x"), F.col("got").isNotNull().alias("active"), moved.alias("moved")))
         if l1(state) < epsilon:
             break
     return state.select("id", F.col("c").alias("rank"))
@@ -57,7 +57,7 @@ def pagerank_converge(graph: Graph, max_rounds: int = 100, epsilon: float = EPSI
     n = graph.n
     state = graph.ids.select("id", "out_degree", F.lit(1.0 / n).alias("rank"))
     for _ in range(max_rounds):
-        got = cut(_pull(graph, state, F.lit(DAMPING) / F.col("s_out_degree") * F.col("s_rank")))
+        got = cut_dealt(_pull(graph, state, F.lit(DAMPING) / F.col("s_out_degree") * F.col("s_rank")))
         lost = (1 - (got.agg(F.sum("got")).first()[0] or 0.0)) / n
         step, total = got.agg(F.sum(F.abs(F.col("rank") - (F.col("got") + lost))), F.sum(F.col("got") + lost)).first()
         state = got.select("id", "out_degree", ((F.col("got") + lost) / total).alias("rank"))
@@ -79,7 +79,7 @@ def pagerank_delta(graph: Graph, max_rounds: int | None = None, epsilon: float =
             delta, p = first - 1.0 / n, F.col("p") + first
         else:
             delta, p = DAMPING * F.col("got"), F.col("p") + DAMPING * F.col("got")
-        state = cut(got.select("id", "out_degree", p.alias("p"), delta.alias("delta"), (F.abs(delta) > DELTA_SHARE * p).alias("active")))
+        state = cut_dealt(got.select("id", "out_degree", p.alias("p"), delta.alias("delta"), (F.abs(delta) > DELTA_SHARE * p).alias("active")))
         if l1(state, "delta") < epsilon:
             break
     return state.select("id", F.col("p").alias("rank"))
@@ -99,13 +99,13 @@ def belief_propagation(graph: Graph, vertex_potentials: DataFrame, rounds: int =
     b[i] = sum_j v_j * e_ij * product_j with the destination's own state (``message="source"``: the source's), and the
     new product of v is the product of its edges' b[i], 1 without in-edges.
     """
-    state = cut(graph.ids.join(vertex_potentials, "id").select("id", "v0", "v1", F.lit(1.0).alias("p0"), F.lit(1.0).alias("p1")).repartition(graph.parts, "id"))
+    state = cut_dealt(graph.ids.join(vertex_potentials, "id").select("id", "v0", "v1", F.lit(1.0).alias("p0"), F.lit(1.0).alias("p1")).repartition(graph.parts, "id"))
     end = {"destination": "dst", "source": "src"}[message]
-    edges = cut(graph.edges.repartition(graph.parts, end).sortWithinPartitions(end))
+    edges = cut_dealt(graph.edges.repartition(graph.parts, end).sortWithinPartitions(end))
     for _ in range(rounds):
         held = edges.join(state.withColumnRenamed("id", end), end)
         belief = lambda i: F.col("v0") * F.col(f"e{i}0") * F.col("p0") + F.col("v1") * F.col(f"e{i}1") * F.col("p1")
         sent = held.select("dst", belief(0).alias("b0"), belief(1).alias("b1")).groupBy("dst").agg(F.product("b0").alias("b0"), F.product("b1").alias("b1"))
         met = state.join(sent, F.col("id") == F.col("dst"), "left")
-        state = cut(met.select("id", "v0", "v1", F.coalesce("b0", F.lit(1.0)).alias("p0"), F.coalesce("b1", F.lit(1.0)).alias("p1")))
+        state = cut_dealt(met.select("id", "v0", "v1", F.coalesce("b0", F.lit(1.0)).alias("p0"), F.coalesce("b1", F.lit(1.0)).alias("p1")))
     return state.select("id", "p0", "p1")

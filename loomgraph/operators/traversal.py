@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.state import cut
+from ..plans.state import cut_counting, cut_dealt
 from .edge_map import EdgeProgram, edge_map, messages, run_rounds, seed
 from .graph import Graph
 from .stars import star_components
@@ -54,7 +54,7 @@ def betweenness(graph: Graph, source: int, nan: bool = False) -> DataFrame:
         sent = messages(back, sending, EdgeProgram((1 + F.col("s_dependency")) / F.col("s_sigma"), "sum"))
         met = state.join(sent, F.col("id") == F.col("dst"), "left")
         takes = (F.col("level") == level - 1) & F.col("msg").isNotNull()
-        state = cut(met.select("id", "level", "sigma", F.when(takes, F.col("sigma") * F.col("msg")).otherwise(F.col("dependency")).alias("dependency"), "active"))
+        state = cut_dealt(met.select("id", "level", "sigma", F.when(takes, F.col("sigma") * F.col("msg")).otherwise(F.col("dependency")).alias("dependency"), "active"))
     lost = F.lit(float("nan")) if nan else F.lit(None).cast("double")
     return state.select("id", "sigma", F.when(F.col("level").isNull(), lost).otherwise(F.col("dependency")).alias("dependency"))
 
@@ -80,18 +80,18 @@ def shortest_paths(graph: Graph, source: int, sentinels: bool = False, max_round
     negative weights; then every vertex has -1073741823. Out of reach: null, or 1073741823 with ``sentinels``.
     """
     graph.check_source(source)
-    floor = graph.by_src.agg(F.coalesce(F.sum(F.least("weight", F.lit(0))), F.lit(0))).first()[0]
+    floor = graph.edges.agg(F.coalesce(F.sum(F.least("weight", F.lit(0))), F.lit(0))).first()[0]
     state = seed(graph, source).select("id", F.when(F.col("id") == source, F.lit(0)).cast("long").alias("dist"), "active")
     closer = F.col("dist").isNull() | (F.col("msg") < F.col("dist"))
     program = EdgeProgram(F.col("s_dist") + F.col("weight"), "min", {"dist": F.col("msg")}, changed=closer)
     most = min(graph.n, max_rounds or graph.n)
-    number, endless = 0, False
-    while not state.where("active").isEmpty():
+    number, endless, active = 0, False, 1
+    while active:
         if number == most or floor < 0 and not state.where(F.col("dist") < floor).isEmpty():
             endless = max_rounds is None or most == graph.n or number < most
             break
         number += 1
-        state = cut(edge_map(graph, state, program))
+        state, active = cut_counting(edge_map(graph, state, program), F.col("active"))
     if endless:
         return state.select("id", F.lit(-UNREACHED).cast("long").alias("dist"))
     return state.select("id", F.coalesce("dist", F.lit(UNREACHED)).alias("dist") if sentinels else F.col("dist"))

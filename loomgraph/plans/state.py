@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 
@@ -30,14 +31,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and reread from the shared folder; partitioning and order are kept, so joins on the same key
-    afterwards need no exchange."""
+    """``df`` computed once and reread from the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """``cut`` that keeps partitioning and order, so that joins on the same key afterwards need no exchange.
+
+    An adaptive plan's partitioning is unknown to the plans that read its checkpoint (they would deal state and edges
+    anew every round), so this one is planned as it stands.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def cut_counting(df: DataFrame, which: Column) -> tuple[DataFrame, int]:
+    """``cut_dealt`` and the number of rows for which ``which`` holds, counted by the tasks that write: no job of its own.
+
+    Tasks that run again may count twice, so only whether there are any is exact.
+    """
+    seen = Observation()
+    done = cut_dealt(df.observe(seen, F.count_if(which).alias("n")))
+    counted = seen.get.get("n")
+    return done, done.where(which).count() if counted is None else counted
+
+
 def tidy(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished plans, which Spark keeps until the driver collects garbage: the phases of a
     long job then don't add up on the executors' disks."""

@@ -207,3 +207,36 @@ def test_hilbert_point_is_the_inverse_of_the_key(spark):
     grid = spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y"))
     back = grid.select("x", "y", partition.hilbert_key(F.col("x"), F.col("y"), 4).alias("d")).select("x", "y", "d", partition.hilbert_point(F.col("d"), 4).alias("p")).collect()
     assert sorted(r.d for r in back) == list(range(256)) and all((r.p.x, r.p.y) == (r.x, r.y) for r in back)
+
+
+def test_hubs_edges_are_dealt_evenly_and_results_stay(spark):
+    edges = [(0, d) for d in range(1, 400)] + [(d, 400 + d % 50) for d in range(1, 400)] + [(0, 1), (0, 0)]
+    rows = [(s, d, 1 + d % 7, i) for i, (s, d) in enumerate(edges)]
+    table = spark.createDataFrame(rows, "src long, dst long, weight long, pos long")
+    plain, split = Graph(table, spark.range(450).select("id")), Graph(table, spark.range(450).select("id"), hub_edges=100)
+    assert plain.hubs is None and [r.src for r in split.hubs.collect()] == [0]
+    sizes = [len(part) for part in split.heavy.rdd.glom().collect()]
+    assert sum(sizes) == 401 and max(sizes) < 200 and split.light.count() == 399 and split.m == len(edges)
+    for algorithm in (lambda g: traversal.bfs(g, 0), lambda g: traversal.shortest_paths(g, 0), rank.spmv, rank.pagerank_shrinking, lambda g: traversal.betweenness(g, 0)):
+        got, want = (sorted(algorithm(g).collect()) for g in (split, plain))
+        assert len(got) == 450 and all(close([float(v) if v is not None else None for v in a], [float(v) if v is not None else None for v in b]) for a, b in zip(got, want, strict=True))
+
+
+def test_a_round_deals_only_its_messages(spark):
+    table = spark.range(2000).select(F.col("id").alias("src"), ((F.col("id") * 7 + 1) % 2000).alias("dst"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = Graph(table)
+        program = em.EdgeProgram(F.col("src"), "min", {"dist": F.lit(1)}, cond=F.col("dist").isNull())
+        state = em.seed(g, 0).select("id", F.when(F.col("id") == 0, 0).alias("dist"), "active")
+        state, rounds = em.run_rounds(state, lambda state, _: em.edge_map(g, state, program), 3)
+        plan = em.edge_map(g, state, program)._jdf.queryExecution().executedPlan().toString()
+        assert rounds == 3 and plan.count("Exchange ") == 1 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_rounds_end_on_an_empty_graph(spark):
+    g = Graph(spark.createDataFrame([], "src long, dst long"))
+    assert traversal.components(g).count() == 0 and g.m == 0
