@@ -95,12 +95,14 @@ def read_snap(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int]]:
-    """(row, col, val from 0, zeros left out; the matrix's size)."""
+    """(row, col, val from 0, zeros left out; the matrix's size) of a text file or folder of ordered parts."""
     lines = spark.read.text(path).where("not startswith(value, '%')")
-    placed = cut(lines.select(F.monotonically_increasing_id().alias("l"), F.col("_metadata.file_block_start").alias("b"), F.array_remove(F.split("value", SEPARATORS), "").alias("p")).where(F.size("p") > 0))
-    first = placed.orderBy("b", "l").limit(1).first()
+    place = (F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("l"))
+    placed = cut(lines.select(*place, F.array_remove(F.split("value", SEPARATORS), "").alias("p")).where(F.size("p") > 0))
+    # splits are read by size, so the least l needn't be the first line
+    first = placed.orderBy("f", "b", "l").first()
     rows, cols, n = (int(x) for x in first["p"][:3])
-    body = placed.where(~((F.col("b") == first["b"]) & (F.col("l") == first["l"])))
+    body = placed.where(F.col("l") != first["l"])
     if body.count() != n:
         raise ValueError("the number of entries doesn't agree with the size line")
     entries = body.select((F.col("p")[0].cast("long") - 1).alias("row"), (F.col("p")[1].cast("long") - 1).alias("col"), F.col("p")[2].cast("double").alias("val"))

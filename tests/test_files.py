@@ -78,6 +78,13 @@ def test_snap_and_matrix_market(spark, tmp_path):
     assert rows(entries, "row", "col", "val") == [(0, 0, 2.5), (1, 2, -1.0)] and size == (3, 4)
 
 
+def test_matrix_market_size_line_in_the_smallest_part(spark, tmp_path):
+    (tmp_path / "part-00000.txt").write_text("%%MatrixMarket\n9 9 41\n1 1 2.5\n")
+    (tmp_path / "part-00001.txt").write_text("".join(f"{k % 9 + 1} {k % 7 + 1} 48.0\n" for k in range(40)))
+    entries, size = files.read_matrix_market(spark, str(tmp_path))
+    assert rows(entries, "row", "col", "val") == sorted([(0, 0, 2.5), *((k % 9, k % 7, 48.0) for k in range(40))]) and size == (9, 9)
+
+
 def test_binary_layouts(spark, tmp_path):
     base = str(tmp_path / "t")
     with open(f"{base}.config", "w") as f:
