@@ -30,8 +30,9 @@ from .common import id_text, lean, read_documents
 SHORT = 128
 #: Words that the dictionary holds before those that were not asked for lately leave it.
 CACHED_WORDS = 400_000
-#: Characters that are cut into words together, about; longer texts are cut between a word and white space.
-CUT_CHARS = 1 << 22
+#: Characters that are cut into words together, about; longer texts are cut between a word and white space. The arrays
+#: over a block's characters and words take some 40 bytes a character, in every worker.
+CUT_CHARS = 1 << 20
 _NONE = np.iinfo(np.int32).max
 
 #: Characters below this are told apart by a table; parts with others are split by the library's own rule.

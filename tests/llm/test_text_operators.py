@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import textwrap
 from collections import Counter
 
@@ -194,6 +195,20 @@ def test_cut_words_equal_library(monkeypatch, path, chars):
         assert own.encode(part) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(part, add_special_tokens=False)]
 
 
+def test_encoding_takes_little_memory_beside_texts_and_ids():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("aeinorst", k=rng.randrange(1, 4))) for _ in range(9000)) + " é" for _ in range(160)]
+    own = bpe.RankArray(WORD)
+    own.encode(texts[:1])
+    tracemalloc.start()
+    try:
+        ids = own.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak - 2 * sum(map(len, ids)) < 80 << 20
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, sf, name):
     got = queries.QUERIES[name](spark, sf).toPandas()
